@@ -15,7 +15,6 @@ an empty result; other columns are ignored by `scan_secrets` and kept by `redact
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -304,7 +303,8 @@ def digest(kinds: tuple[str, ...]):
     """The query's columns from spans: counts of the base kinds, their digest, and all spans as a string."""
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    found = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(found) - F.size(F.array_remove(found, k))).cast("long").alias(f"n_{k}") for k in kinds]
     return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
 
 
