@@ -2,7 +2,7 @@
 
 Lines are normalised and hashed.  For each host (the `source` column) the documents that hold a line are counted;
 a line above the host's limit is boilerplate, is removed, and a document that loses too much of itself is rejected.
-Documents are told apart by a min-hash of their words, so that exact and near copies of one text count as one
+Documents are told apart by min-hashes of their words, so that exact and most near copies of one text count as one
 document and a large group of copies does not make its own lines look like boilerplate.
 
 Defined edge cases: a null text has no words and fails the base rules; a null source is a host of its own; repeated
@@ -36,6 +36,7 @@ BROADCAST_LINES = 100_000
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
+_PERMUTATIONS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _DIGITS = re.compile("[0-9]+")
 
 
@@ -98,12 +99,17 @@ def measure_texts(texts: list[str]) -> dict[str, list]:
     ends = np.cumsum(out["n_words"], dtype=np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     out["n_repeat_words"] = _repeated(flat, ends).tolist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in index), np.int64, len(index))
-    least = np.full(len(texts), -1, np.int64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
+    least = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(np.array(out["n_words"]) > 0)
     if len(some):
-        least[some] = np.minimum.reduceat(hashes[flat], (ends - np.array(out["n_words"]))[some])
-    out["same_as"] = least.tolist()
+        # several permutations, so that one shared line's words seldom are the least in all of them
+        for odd in _PERMUTATIONS:
+            ranked = hashes * odd
+            ranked ^= ranked >> np.uint64(32)
+            found = np.minimum.reduceat(ranked[flat], (ends - np.array(out["n_words"]))[some])
+            least[some] = (least[some] ^ found) * _PERMUTATIONS[0]
+    out["same_as"] = least.view(np.int64).tolist()
     return out
 
 
