@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percentile_score, sum_skipping_nulls, tier
@@ -35,3 +35,18 @@ def combine_regions(world: DataFrame, local: DataFrame) -> DataFrame:
     both = w.join(e, keys, "full_outer")
     years = F.when(F.col("years_in_list_w").isNotNull(), F.greatest("years_in_list_w", F.coalesce("years_in_list_e", F.lit(0))))
     return both.select(*keys, *[F.coalesce(f"{c}_w", f"{c}_e", F.lit(0)).alias(c) for c in ("future_stock", "future_repl")], years.alias("years_in_list"))
+
+
+def percentile_by_buckets(rows: DataFrame, value: str, bucket: Column) -> DataFrame:
+    """rows with `pct`, the average-tie rank of value over the count of values; null values stay null.
+
+    `bucket` must never fall as value rises.  Only its counts, one row a bucket, meet in one ordered window; the ranks
+    within a bucket are taken bucket by bucket, so no task sees all rows.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(bucket.alias("_bucket"), value).agg(F.count("*").alias("_n"))
+    sums = per.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
+    order = Window.orderBy("_bucket")
+    before = sums.select("_bucket", (F.sum("_all").over(order) - F.col("_all")).alias("_before"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
+    within = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(value)) - F.col("_n")
+    ranks = per.join(before, "_bucket").select(value, ((F.col("_before") + within + (F.col("_n") + 1) / 2) / F.col("_total")).alias("pct"))
+    return rows.join(ranks, value, "left")

@@ -1,0 +1 @@
+from . import estimator  # noqa: F401  (registers its queries beside those of `queries`)
