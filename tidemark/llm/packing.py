@@ -14,6 +14,7 @@ packed each for itself; an empty table gives an empty result; other columns of t
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,7 @@ ROUNDS = 4
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     return Tokenizer.from_file(path)
 
 
@@ -62,7 +64,8 @@ class WordIds:
         """Ids of many words of letters at once: each is one pre-token and ends with the one token that closes it."""
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            [coded] = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)  # without character places
+            ids = np.array(coded.ids, dtype="<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
             self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
