@@ -5,9 +5,8 @@
   TUPLE least labelled shingles are taken and hashed in text order, so that both what is shared and its order count.
 * Nodes that agree in a band share a bucket.  Buckets of at most SMALL_BUCKET nodes give all their pairs.  Larger ones
   pair each node with a pivot; in later rounds, with one of the largest class and one from outside it, if these
-  are of another class than the node.  The last round splits large buckets by further bands, as an LSH forest does,
-  and pairs nodes of different classes inside those.  So no node is ever left out of a bucket, and a group of copies
-  costs work in proportion to its size, not to its square.
+  are of another class than the node.  The last round takes all nodes of the buckets that still hold several classes,
+  and joins them exactly by prefix filtering, so that no link between classes is lost.
 * A pair is a link if an alignment of the two shingle sequences, in order and inside a band, matches m shingles with
   m / (n1 + n2 - m) >= 0.8.  The band is as wide as that threshold allows and so never loses a link.
 * Classes are the connected components of the links.
@@ -35,7 +34,6 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, TUPLE = 20, 3
 SMALL_BUCKET, ROUNDS = 4, 3
-FINER, SMALL_SUB = 4, 8
 #: Words whose hashes a worker keeps; beyond it the table starts afresh.
 CACHE_WORDS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +192,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def find_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: links between texts, enough to join every class; rows: sketches(docs)."""
+    """a, b: links between texts, enough to join every class that the links inside buckets make; rows: sketches(docs)."""
     texts = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
     held = texts.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
     sizes = written(held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1"), "buckets")
@@ -210,11 +208,11 @@ def find_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     links = written(verified(pairs.union(star).distinct(), data), "links")
     if large.limit(1).count() == 0:
         return links
-    large = written(large.select("bucket", "key").join(texts.select("key", "bands"), "key"), "large")
+    large = written(large.select("bucket", "key"), "large")
     for k in range(1, ROUNDS + 1):
         labels = components(links)
         classed = large.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("label", "key")).drop("label")
-        classed = written(classed if k == ROUNDS else classed.drop("bands"), "classed")
+        classed = written(classed, "classed")
         per = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).alias("pivot"))
         per = written(per.select("bucket", "class", "n", F.col("pivot.key").alias("key")), "per")
         main = per.groupBy("bucket").agg(F.max(F.struct("n", "class", "key")).alias("main"), F.max(F.struct(F.xxhash64("key", F.lit(k)), "key", "class")).alias("other"), F.count("*").alias("classes")).where("classes > 1")
@@ -222,46 +220,62 @@ def find_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if k < ROUNDS:
             pairs = classed.join(pivots, "bucket").where("class <> of").select(*_ordered("key", "pivot"))
         else:
-            pairs = _finer(classed.join(main.select("bucket"), "bucket", "left_semi"))
+            pairs = _remaining(classed.join(main.select("bucket"), "bucket", "left_semi").select("key", "class").distinct(), data)
         more = written(verified(pairs.distinct(), data), "links")
         links = written(links.union(more).distinct(), "links")
     return links
 
 
-def _finer(rows: DataFrame) -> DataFrame:
-    """Pairs of different classes that agree in a large bucket's band and in some further pair of bands.
+def _remaining(rows: DataFrame, data: DataFrame) -> DataFrame:
+    """Every pair of nodes of different classes that may be a link; rows: key, class, of all nodes in buckets of several.
 
-    Every row goes to FINER sub-buckets; a small one gives all its pairs, a larger one pairs all with a pivot.
+    Nothing is lost: shingles numbered by occurrence are sets, a link's sets have a Jaccard index of SIMILARITY or more,
+    and such sets share a shingle among the rarest n - ceil(SIMILARITY * n) + 1 of each, for any one order of all.
+    The rarest first, what many texts share makes no pairs.  A link's first common shingle leaves enough behind it.
     """
-    bands = [F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(n)), F.lit(BANDS)) + 1).cast("int")) for n in range(2 * FINER)]
-    keys = F.array(*[F.xxhash64("bucket", F.lit(n), bands[2 * n], bands[2 * n + 1]) for n in range(FINER)])
-    sub = written(rows.select("key", "class", F.explode(keys).alias("sub")), "sub")
-    sizes = sub.groupBy("sub").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2"), F.min(F.struct("class", "key")).alias("pivot")).where("c1 <> c2")
-    sub = written(sub.join(written(sizes.select("sub", "n", "pivot"), "sizes"), "sub"), "sub")
-    small = sub.where(F.col("n") <= SMALL_SUB).groupBy("sub").agg(F.sort_array(F.collect_list(F.struct("key", "class"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SMALL_SUB)), lambda y: y["class"] != x["class"]), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
-    small = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    star = sub.where((F.col("n") > SMALL_SUB) & (F.col("class") != F.col("pivot.class"))).select("key", F.col("pivot.key").alias("pivot")).select(*_ordered("key", "pivot"))
-    return small.union(star)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "shingles"):
+                held = [numbered(np.frombuffer(x, np.uint32).astype(np.uint64)).view(np.int64) for x in part.column("shingles").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("class"), pa.array(held, pa.list_(pa.int64()))], names=["key", "class", "tokens"])
+
+    sets = rows.join(data, "key").select("key", "class", "shingles").mapInArrow(run, "key binary, class binary, tokens array<long>")
+    held = written(sets.select("key", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
+    often = held.groupBy("token").agg(F.count("*").alias("times"))
+    ranked = held.join(often.where("times > 1"), "token", "left").select("key", "class", "n", "token", F.coalesce("times", F.lit(1)).alias("times"))
+    ranked = ranked.groupBy("key").agg(F.first("class").alias("class"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
+    # the small amount keeps ceil() from adding one to a whole product
+    head = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6).cast("int") + 1)
+    posts = written(ranked.select("key", "class", "n", F.posexplode(head).alias("at", "t")).where("t.times > 1").select("key", "class", (F.col("n") - F.col("at")).alias("left"), "n", "t.token"), "posts")
+    mains = posts.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes"))
+    posts = written(posts.join(mains.where("classes > 1").select("token", "main"), "token"), "posts")
+    # those outside a shingle's largest class, with all; so a class costs work by its size, not by the square of it
+    x = posts.where(F.col("class") != F.col("main")).drop("main").alias("x")
+    y = posts.alias("y")
+    once = (F.col("y.class") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
+    enough = F.least("x.left", "y.left") >= SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & enough).select(*_ordered("x.key", "y.key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key, class_id (least doc_id of the class), n_links (to other texts), kept, for every row of docs.
+    """doc_id, key, class_id (least doc_id of the class), links_found, kept, for every row of docs.
 
+    links_found counts the links that were verified to join the classes; pairs inside a class are not all compared.
     kept marks the row that stays; where rows repeat in doc_id and text it marks each of them.
     """
     rows = written(sketches(docs), "sketches")
     links = find_links(docs, rows)
     labels = components(links)
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links_found"))
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     texts = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    texts = written(texts.select("key", F.coalesce("label", "key").alias("label"), "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
+    texts = written(texts.select("key", F.coalesce("label", "key").alias("label"), "least", F.coalesce("links_found", F.lit(0).cast("long")).alias("links_found")), "classes")
     # the representative: least doc_id, then least key, for texts that share a doc_id
     heads = texts.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("head"))
-    classes = texts.join(heads, "label").select("key", "n_links", F.col("head.least").alias("class_id"), (F.col("key") == F.col("head.key")).alias("first"))
+    classes = texts.join(heads, "label").select("key", "links_found", F.col("head.least").alias("class_id"), (F.col("key") == F.col("head.key")).alias("first"))
     out = rows.select("doc_id", "key").join(written(classes, "classes"), "key")
-    return out.select("doc_id", "key", "class_id", "n_links", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    return out.select("doc_id", "key", "class_id", "links_found", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
