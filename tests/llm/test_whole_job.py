@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tidemark.llm import near_duplicates
+from tidemark.llm import near_duplicates, quality_rules
 
 
 def brute_classes(texts: dict[int, str]) -> dict[int, int]:
@@ -49,3 +49,15 @@ def test_near_duplicates_of_large_groups(spark):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(frame).collect()}
     assert got == brute_classes(texts)
+
+
+def test_quality_rules_of_boilerplate_hosts(spark):
+    """Pages that are nearly all boilerplate are documents of their own; exact copies of one text are not."""
+    lines = [" ".join(f"shared{i}x{j}" for j in range(30)) for i in range(3)]
+    own = lambda i: "".join(chr(97 + n) for n in (i % 26, i // 26))
+    pages = [(i, "\n".join(lines) + f"\n{own(i)} {own(i)}end", "pages") for i in range(60)]
+    copies = [(100 + i, " ".join(f"copied{j}" for j in range(40)), "copies") for i in range(60)]
+    frame = spark.createDataFrame(pages + copies, "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in quality_rules.verdicts(frame).collect()}
+    assert all(rows[i].removed_words == 90 and not rows[i].kept for i in range(60))
+    assert all(rows[100 + i].removed_words == 0 and rows[100 + i].kept for i in range(60))

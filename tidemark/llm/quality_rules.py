@@ -2,8 +2,8 @@
 
 Lines are normalised and hashed.  For each host (the `source` column) the documents that hold a line are counted;
 a line above the host's limit is boilerplate, is removed, and a document that loses too much of itself is rejected.
-Documents are told apart by min-hashes of their words, so that exact and most near copies of one text count as one
-document and a large group of copies does not make its own lines look like boilerplate.
+Documents are told apart by a hash of all their words in order, so that exact copies of one text count as one document
+and a large group of them does not make its own lines look like boilerplate; near copies each count.
 
 Defined edge cases: a null text has no words and fails the base rules; a null source is a host of its own; repeated
 rows each get the same verdict; an empty table gives an empty result; other columns are ignored, and kept by
@@ -36,7 +36,6 @@ BROADCAST_LINES = 100_000
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-_PERMUTATIONS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _DIGITS = re.compile("[0-9]+")
 
 
@@ -79,14 +78,15 @@ def _repeated(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def measure_texts(texts: list[str]) -> dict[str, list]:
-    """The measures of each text: base figures, min-hash of its words, and its distinct lines with their words."""
-    out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "lines")}
+    """The measures of each text: base figures, its identity, and its distinct lines with their words."""
+    out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "same_as", "lines")}
     index, ids = _Index(), []
     for text in texts:
         raw = text.encode("utf-8", "replace")
         words = raw.split()  # bytes split on the six ASCII blanks only
         ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
         out["n_words"].append(len(words))
+        out["same_as"].append(xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63))
         out["word_chars"].append(len(text) - (len(raw) - len(raw.translate(None, BLANKS))))
         out["n_symbols"].append(len(raw) - len(raw.translate(None, SYMBOLS)))
         lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
@@ -99,17 +99,6 @@ def measure_texts(texts: list[str]) -> dict[str, list]:
     ends = np.cumsum(out["n_words"], dtype=np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     out["n_repeat_words"] = _repeated(flat, ends).tolist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
-    least = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(np.array(out["n_words"]) > 0)
-    if len(some):
-        # several permutations, so that one shared line's words seldom are the least in all of them
-        for odd in _PERMUTATIONS:
-            ranked = hashes * odd
-            ranked ^= ranked >> np.uint64(32)
-            found = np.minimum.reduceat(ranked[flat], (ends - np.array(out["n_words"]))[some])
-            least[some] = (least[some] ^ found) * _PERMUTATIONS[0]
-    out["same_as"] = least.view(np.int64).tolist()
     return out
 
 
