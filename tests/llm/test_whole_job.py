@@ -1,10 +1,12 @@
 """The operators against plain versions that compare or count everything, on inputs where a shortened job shows."""
 
 import itertools
+import re
+from re import _parser
 
 import numpy as np
 
-from tidemark.llm import near_duplicates, quality_rules
+from tidemark.llm import license_rules, licenses, near_duplicates, quality_rules
 
 
 def brute_classes(texts: dict[int, str]) -> dict[int, int]:
@@ -61,3 +63,42 @@ def test_quality_rules_of_boilerplate_hosts(spark):
     rows = {r.doc_id: r for r in quality_rules.verdicts(frame).collect()}
     assert all(rows[i].removed_words == 90 and not rows[i].kept for i in range(60))
     assert all(rows[100 + i].removed_words == 0 and rows[100 + i].kept for i in range(60))
+
+
+def samples(parsed) -> list[str]:
+    """One string of every alternative of a pattern, with optional parts and without."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            part = [chr(arg)]
+        elif name == "IN":
+            part = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "BRANCH":
+            part = [x for b in arg[1] for x in samples(b)]
+        elif name == "SUBPATTERN":
+            part = samples(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            part = ([""] if arg[0] == 0 else []) + samples(arg[2])
+        else:
+            assert name == "ASSERT"
+            part = [""]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_license_gates_are_necessary():
+    for rule in license_rules.rules():
+        for x in samples(_parser.parse(rule["pattern"])):
+            assert re.search(rule["pattern"], f" {x} "), (rule, x)
+            assert any(g in f" {x} " for g in rule["gates"]), (rule["label"], x)
+
+
+def test_license_words_without_their_usual_gate(spark):
+    named = {
+        "released under GPLv2": "gpl-2.0", "under lgpl3": "lgpl-3.0", "AGPLv3 only": "agpl-3.0", "data under ODbL 1.0": "odbl", "psf license": "python-2.0",
+        "a beer-ware license": "beerware", "mpl2": "mpl-2.0", "ASL 2.0": "apache-2.0", "freebsd": "bsd-2-clause", "zero clause bsd": "0bsd",
+    }
+    frame = spark.createDataFrame(list(enumerate(named)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
+    assert [rows[i].labels for i in range(len(named))] == list(named.values()) and all(r.score > 0 for r in rows.values())

@@ -1,6 +1,7 @@
 """Signatures of licences: regular expressions over lower-case words that single spaces part.
 
-NAMES holds, by hand, a label, the word that gates it, and how the licence is called.  Each gives three rules: its
+NAMES holds, by hand, a label, the words that gate it, and how the licence is called; whatever the pattern matches has one
+of its gates as a whole word.  Each gives three rules: its
 machine-readable tag, a grant under it, and its bare name.  TEXTS holds sentences of the licences themselves and of
 notices.  Priorities: 1 tag, 2 licence text, 3 grant, 4 name, 5 general notice.
 """
@@ -10,41 +11,41 @@ from __future__ import annotations
 V = "( (version|v|ver|v r))?"
 NAMES = [
     ("gpl-2.0", "gnu", rf"gnu (general public license|gpl){V} ?2( 0)?( only)?"),
-    ("gpl-2.0", "gpl", rf"gpl{V} ?2( 0)?( only)?|gplv2"),
+    ("gpl-2.0", "gpl gpl2 gplv2", rf"gpl{V} ?2( 0)?( only)?|gplv2"),
     ("gpl-3.0", "gnu", rf"gnu (general public license|gpl){V} ?3( 0)?( only)?"),
-    ("gpl-3.0", "gpl", rf"gpl{V} ?3( 0)?( only)?|gplv3"),
+    ("gpl-3.0", "gpl gpl3 gplv3", rf"gpl{V} ?3( 0)?( only)?|gplv3"),
     ("gpl", "gnu", r"gnu (general public license|gpl)"),
     ("gpl", "gpl", r"gpl"),
     ("lgpl-2.1", "lesser", rf"(gnu )?lesser general public license{V} ?2 1"),
-    ("lgpl-2.1", "lgpl", rf"lgpl{V} ?2 1|lgplv2 1"),
+    ("lgpl-2.1", "lgpl lgpl2 lgplv2", rf"lgpl{V} ?2 1|lgplv2 1"),
     ("lgpl-3.0", "lesser", rf"(gnu )?lesser general public license{V} ?3( 0)?"),
-    ("lgpl-3.0", "lgpl", rf"lgpl{V} ?3( 0)?|lgplv3"),
+    ("lgpl-3.0", "lgpl lgpl3 lgplv3", rf"lgpl{V} ?3( 0)?|lgplv3"),
     ("lgpl", "lesser", r"(gnu )?lesser general public license"),
     ("lgpl", "library", r"gnu library general public license"),
     ("lgpl", "lgpl", r"lgpl"),
     ("agpl-3.0", "affero", rf"(gnu )?affero general public license{V} ?3( 0)?"),
-    ("agpl-3.0", "agpl", rf"agpl{V} ?3( 0)?|agplv3"),
+    ("agpl-3.0", "agpl agpl3 agplv3", rf"agpl{V} ?3( 0)?|agplv3"),
     ("agpl", "affero", r"(gnu )?affero general public license"),
     ("agpl", "agpl", r"agpl"),
     ("gfdl", "documentation", r"gnu free documentation license( version 1 [123])?"),
     ("gfdl", "gfdl", r"gfdl( 1 [123])?"),
     ("apache-1.1", "apache", rf"apache (software )?license{V} ?1 1"),
     ("apache-2.0", "apache", rf"apache (software )?(license|licence){V} ?2( 0)?"),
-    ("apache-2.0", "apache", r"apache ?2( 0)?|asl 2 0|al2"),
+    ("apache-2.0", "apache apache2 asl al2", r"apache ?2( 0)?|asl 2 0|al2"),
     ("apache", "apache", r"apache (software )?(license|licence)"),
     ("mit", "mit", r"mit (license|licence)"),
     ("mit", "expat", r"expat (license|licence)"),
     ("mit-0", "mit", r"mit (0|no attribution)( license)?"),
     ("x11", "x11", r"x11 (license|licence)"),
-    ("bsd-2-clause", "bsd", r"(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)( (license|licence))?"),
+    ("bsd-2-clause", "bsd freebsd", r"(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)( (license|licence))?"),
     ("bsd-3-clause", "bsd", r"(bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)( (license|licence))?"),
     ("bsd-4-clause", "bsd", r"(bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)( (license|licence))?"),
     ("bsd", "bsd", r"bsd( style)? (license|licence)"),
-    ("0bsd", "0bsd", r"0bsd|zero clause bsd( license)?"),
+    ("0bsd", "0bsd zero", r"0bsd|zero clause bsd( license)?"),
     ("isc", "isc", r"isc (license|licence)"),
     ("mpl-1.1", "mozilla", rf"mozilla public license{V} ?1 1"),
     ("mpl-2.0", "mozilla", rf"mozilla public license{V} ?2( 0)?"),
-    ("mpl-2.0", "mpl", r"mpl ?2( 0)?"),
+    ("mpl-2.0", "mpl mpl2", r"mpl ?2( 0)?"),
     ("mpl", "mozilla", r"mozilla public license"),
     ("epl-1.0", "eclipse", rf"eclipse public license{V} ?1( 0)?"),
     ("epl-2.0", "eclipse", rf"eclipse public license{V} ?2( 0)?"),
@@ -63,7 +64,7 @@ NAMES = [
     ("artistic-2.0", "artistic", rf"artistic license{V} ?2( 0)?"),
     ("artistic", "artistic", r"artistic license"),
     ("perl", "perl", r"same terms as perl( itself)?"),
-    ("python-2.0", "python", r"python software foundation license|psf license"),
+    ("python-2.0", "python psf", r"python software foundation license|psf license"),
     ("ruby", "ruby", r"ruby (s )?license"),
     ("php", "php", r"php license( version)?( 3 0[01]?)?"),
     ("zlib", "zlib", r"zlib( libpng)? license"),
@@ -77,14 +78,14 @@ NAMES = [
     ("polyform", "polyform", r"polyform (noncommercial|small business|shield|strict) license"),
     ("unlicense", "unlicense", r"(the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
-    ("beerware", "beerware", r"beerware( license)?|beer ware license"),
+    ("beerware", "beerware beer", r"beerware( license)?|beer ware license"),
     ("ms-pl", "microsoft", r"microsoft public license"),
     ("ms-rl", "microsoft", r"microsoft reciprocal license"),
     ("ncsa", "illinois", r"university of illinois( ncsa)?( open source)? license"),
     ("postgresql", "postgresql", r"postgresql license"),
     ("unicode", "unicode", r"unicode license( v3)?"),
     ("ofl-1.1", "sil", r"sil open font license( (v|version))?( 1 [01])?"),
-    ("odbl", "database", r"open database license|odbl( 1 0)?"),
+    ("odbl", "database odbl", r"open database license|odbl( 1 0)?"),
     ("odc-by", "commons", r"open data commons attribution license"),
     ("pddl", "dedication", r"public domain dedication and license"),
     ("cdla", "community", r"community data license agreement( permissive| sharing)?"),
@@ -148,4 +149,4 @@ def rules() -> list[dict]:
     for label in dict.fromkeys(x[0] for x in NAMES):
         out.append((label, 1, "spdx", rf"spdx license identifier {label.replace('-', ' ').replace('.', ' ')}( only| or later)?"))
     out += [(label, priority, gate, pattern) for label, gate, priority, pattern in TEXTS]
-    return [{"label": a, "priority": b, "gate": f" {c} ", "pattern": f"(?<= )(?:{d})(?= )"} for a, b, c, d in out]
+    return [{"label": a, "priority": b, "gates": [f" {g} " for g in c.split()], "pattern": f"(?<= )(?:{d})(?= )"} for a, b, c, d in out]

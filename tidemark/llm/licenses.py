@@ -1,9 +1,10 @@
 """Licence scans by ordered signature rules, in Spark's own functions only.
 
-A text is brought to lower-case words parted by single spaces.  Each rule is gated by a keyword: only the patterns whose
-keyword stands in a text are tried on it.  Their detections are intervals with a priority.  They are taken in order of
-start, longer ones first; one that lies inside the last kept one is suppressed, unless its priority is better, when it
-takes that one's place.  Labels are those of the detections that stay, and always those of the base phrases.
+A text is brought to lower-case words parted by single spaces.  Each rule is gated by keywords: only the patterns of
+which one stands in a text are tried on it, and each alternative of a pattern has one.  Their detections are intervals
+with a priority.  They are taken in order of start, longer ones first; one that lies inside the last kept one is
+suppressed, unless its priority is better, when it takes that one's place.  Labels are those of the detections that
+stay, and always those of the base phrases.
 
 Defined edge cases: a null text counts as empty and has no words, places or labels, and score 0; ties go to the longer
 interval, then the better priority, then the lesser label; repeated rows each give a row; an empty table gives an empty
@@ -52,7 +53,7 @@ def base_places(norm: Column) -> Column:
 
 
 def rule_table() -> Column:
-    return F.from_json(F.lit(json.dumps([r | {"weight": WEIGHTS[r["priority"]]} for r in rules()])), "array<struct<label:string,priority:int,gate:string,pattern:string,weight:double>>")
+    return F.from_json(F.lit(json.dumps([r | {"weight": WEIGHTS[r["priority"]]} for r in rules()])), "array<struct<label:string,priority:int,gates:array<string>,pattern:string,weight:double>>")
 
 
 def detections(norm: Column, gated: Column) -> Column:
@@ -95,12 +96,12 @@ def resolved(found: Column) -> Column:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections of every document."""
-    gates = sorted({r["gate"] for r in rules()})
+    gates = sorted({g for r in rules() for g in r["gates"]})
     rows = docs.select("doc_id", words(text_or_empty()).alias("norm"))
     norm = F.col("norm")
     hits = let(F.array(*map(F.lit, gates)), lambda all_: F.filter(all_, lambda g: F.contains(norm, g)))
     rows = rows.withColumn("rules", rule_table()).withColumn("hits", hits)
-    gated = F.filter("rules", lambda r: F.array_contains(F.col("hits"), r["gate"]))
+    gated = F.filter("rules", lambda r: F.arrays_overlap(F.col("hits"), r["gates"]))
     none = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("n"))
     some = F.size("hits") > 0
     rows = rows.select(
