@@ -1,7 +1,8 @@
-"""Connected components of a link table, by label spreading with pointer jumping.
+"""Connected components of a link table, by contraction.
 
-Every round is two joins and a map-side combined minimum; the labels are written to the shared folder, so nothing is
-collected and a lost executor costs a re-read.  Pointer jumping halves the depth of the label trees in each round.
+Each round points every node to its least neighbour, or to itself, and replaces the links by those between the nodes
+pointed to.  A node that others point to takes them in, so the links shrink quickly; every table is written to the shared
+folder, nothing is collected, and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -13,14 +14,33 @@ from .common import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of its component for every node of links (a, b); an empty table gives no rows."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    """node, label: one node of its component for every node of links (a, b), the same for all of it; none for no links."""
+    rounds = []
+    edges = links.select("a", "b")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
-        heads = spread.select(F.col("node").alias("label"), F.col("label").alias("head"))
-        jumped = written(spread.join(heads, "label").select("node", F.col("head").alias("label"), "was"), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> was").limit(1).count() == 0:
-            return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        heads = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "heads")
+        rounds.append(heads)
+        moved = edges.join(heads.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(heads.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
+            break
+    labels = rounds.pop()
+    while rounds:
+        labels = written(followed(rounds.pop(), labels), "labels")
+    return labels
+
+
+def followed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """node, label of first, each label replaced by its own label in then, where it has one."""
+    then = then.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return first.join(then, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+
+
+def joined_classes(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels of the components of the links that made labels and of more (a, b) together."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    edges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    between = components(written(edges.where("a <> b").distinct(), "between"))
+    new = between.join(labels.select("node"), "node", "left_anti")  # nodes that had no link before
+    return written(followed(labels, between).unionByName(new), "labels")

@@ -3,22 +3,27 @@
 * Texts are sequences of white-space delimited words; equal texts are one node, named by their MD5.
 * Order min-hash: every five-word shingle is labelled with its occurrence number.  For each of BANDS permutations the
   TUPLE least labelled shingles are taken and hashed in text order, so that both what is shared and its order count.
-* Nodes that agree in a band share a bucket.  Buckets of at most SMALL_BUCKET nodes give all their pairs.  Larger ones
-  pair each node with a pivot; in later rounds, with one of the largest class and one from outside it, if these
-  are of another class than the node.  The last round takes all nodes of the buckets that still hold several classes,
-  and joins them exactly by prefix filtering, so that no link between classes is lost.
+* Nodes that agree in a band share a bucket.  A bucket of at most SMALL_BUCKET nodes gives all its pairs.  A larger one
+  gives a star: its most central node, the one whose buckets hold most nodes in all, paired with each of the others.
+* The links of these pairs make classes.  All nodes of the large buckets that still hold several classes are then joined
+  by prefix filtering, which is exact, so every link inside a bucket joins its two classes whatever the bucket's size.
 * A pair is a link if an alignment of the two shingle sequences, in order and inside a band, matches m shingles with
-  m / (n1 + n2 - m) >= 0.8.  The band is as wide as that threshold allows and so never loses a link.
+  m / (n1 + n2 - m) >= 0.8.  The band is as wide as that threshold allows and so never loses a link; the alignment
+  holds the band's bits only.
 * Classes are the connected components of the links.
 
+Two texts at the threshold agree in a band with probability 0.8 ** TUPLE or so, and share no bucket with a probability
+of (1 - 0.8 ** TUPLE) ** BANDS, some 3 in 100,000; that is the only way to lose a link.
+
 Defined edge cases: a null text counts as empty; empty texts are copies of each other; a text of fewer than five words
 is one shingle; repeated rows are copies; a null doc_id never stands for its class unless all are null; an empty table
-gives an empty result; other columns are ignored, and kept by `keep_one`.
+gives an empty result; other columns are ignored, and kept by `keep_one` whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_or_empty, written
-from .components import components
+from .components import components, joined_classes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, TUPLE = 20, 3
-SMALL_BUCKET, ROUNDS = 4, 3
+BANDS, TUPLE = 20, 4
+SMALL_BUCKET = 4
+#: Places of a shingle that the alignment lists one by one; more are one integer.
+FEW_PLACES = 16
 #: Words whose hashes a worker keeps; beyond it the table starts afresh.
 CACHE_WORDS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -91,9 +98,8 @@ def numbered(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text: str) -> list[int]:
-    """The order min-hash of each band; none for a text without words."""
-    g = shingles(text)
+def sketch(g: np.ndarray) -> list[int]:
+    """The order min-hash of each band, from a text's shingles; none for a text without words."""
     if not len(g):
         return []
     g = numbered(g)
@@ -124,19 +130,42 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
         return same
     if same + sum((Counter(a) & Counter(b)).values()) < need:
         return 0
-    # bit j of a word's mask: it stands at b[j]; the classical bit-parallel longest common subsequence
-    masks: dict[int, int] = {}
-    for j, x in enumerate(b):
-        masks[x] = masks.get(x, 0) | 1 << j
+    # the bit-parallel longest common subsequence, kept to the band: bit k of v stands for b[low + k], and is cleared
+    # where the length grows.  Bits below the band can change no more and are counted as they leave it.
     width = int(n + m - 2 * need) + 1  # what an alignment that reaches the threshold may shift
-    band, full = (1 << (2 * width + 1)) - 1, (1 << len(b)) - 1
-    v = full
+    places: dict[int, list[int]] = defaultdict(list)
+    for j, x in enumerate(b):
+        places[x].append(j)
+    dense = {x: sum(1 << j for j in at) if len(b) < 4096 else _bits(at) for x, at in places.items() if len(at) > FEW_PLACES}
+    size = 2 * width + 1
+    full = (1 << size) - 1
+    v, cleared = full, 0
     for i, x in enumerate(a):
-        if hit := masks.get(x):
-            hit &= band << (i - width) if i >= width else band >> (width - i)
-            u = v & hit
+        low = i - width
+        if i:
+            cleared += 1 - (v & 1)
+            v = v >> 1 | 1 << size - 1
+        at = places.get(x)
+        if at is None:
+            continue
+        if x in dense:
+            hit = (dense[x] >> low if low > 0 else dense[x] << -low) & full
+        else:
+            hit = 0
+            for j in at[bisect_left(at, low) :]:
+                if j > i + width:
+                    break
+                hit |= 1 << j - low
+        if u := v & hit:
             v = ((v + u) | (v - u)) & full
-    return same + len(b) - v.bit_count()
+    return same + cleared + size - v.bit_count()
+
+
+def _bits(places: list[int]) -> int:
+    out = np.zeros(places[-1] // 8 + 1, np.uint8)
+    at = np.array(places)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return int.from_bytes(out.tobytes(), "little")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -149,29 +178,20 @@ def text_key() -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key, bands of every row, in one pass over the texts."""
+    """doc_id, key, n, bands, shingles (32-bit, as bytes) of every row, in one pass over the texts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            bands = [sketch(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            columns = [
+                batch.column("doc_id"), batch.column("key"), pa.array(map(len, found), pa.int32()),
+                pa.array(map(sketch, found), pa.list_(pa.int64())), pa.array([g.astype(np.uint32).tobytes() for g in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "bands", "shingles"])
 
     rows = docs.select("doc_id", text_key().alias("key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, key binary, bands array<long>")
-
-
-def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, shingles (as bytes) of the texts in wanted (key, doc_id)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data = [shingles(t).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(data, pa.binary())], names=["key", "shingles"])
-
-    rows = docs.select(text_key().alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("of"), text_or_empty().alias("text"))
-    rows = rows.join(wanted.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("of")), ["key", "of"], "left_semi")
-    return rows.select("key", "text").mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, key binary, n int, bands array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, data: DataFrame) -> DataFrame:
@@ -191,39 +211,38 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def find_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: links between texts, enough to join every class that the links inside buckets make; rows: sketches(docs)."""
-    texts = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
-    held = texts.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = written(held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1"), "buckets")
+def _long_enough(x: Column, y: Column) -> Column:
+    """Whether two numbers of shingles leave room for a link."""
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-6
+
+
+def find_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) enough to make the classes of all links inside buckets, and those classes; rows: sketches(docs)."""
+    texts = written(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
+    held = texts.select("key", "n", F.posexplode("bands").alias("band", "hash")).select("key", "n", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(held.join(sizes, "bucket"), "members")
-    data = written(shingle_table(docs, texts.join(members.select("key").distinct(), "key", "left_semi")), "shingles")
+    central = members.groupBy("key").agg(F.sum("size").alias("central"))
+    members = written(members.join(central, "key"), "central")
+    data = rows.select("key", "shingles").join(central.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    data = written(data, "shingles")
 
     # small buckets: all pairs, at most SMALL_BUCKET * (SMALL_BUCKET - 1) / 2 of each
-    small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    pairs = small.select(F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(SMALL_BUCKET)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "key", "least")
-    # the first pivot of a large bucket is its least node
-    star = large.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    links = written(verified(pairs.union(star).distinct(), data), "links")
-    if large.limit(1).count() == 0:
-        return links
-    large = written(large.select("bucket", "key"), "large")
-    for k in range(1, ROUNDS + 1):
-        labels = components(links)
-        classed = large.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("label", "key")).drop("label")
-        classed = written(classed, "classed")
-        per = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).alias("pivot"))
-        per = written(per.select("bucket", "class", "n", F.col("pivot.key").alias("key")), "per")
-        main = per.groupBy("bucket").agg(F.max(F.struct("n", "class", "key")).alias("main"), F.max(F.struct(F.xxhash64("key", F.lit(k)), "key", "class")).alias("other"), F.count("*").alias("classes")).where("classes > 1")
-        pivots = written(main.select("bucket", F.explode(F.array(F.struct("main.class", "main.key"), F.struct("other.class", "other.key"))).alias("p")).select("bucket", F.col("p.class").alias("of"), F.col("p.key").alias("pivot")).distinct(), "pivots")
-        if k < ROUNDS:
-            pairs = classed.join(pivots, "bucket").where("class <> of").select(*_ordered("key", "pivot"))
-        else:
-            pairs = _remaining(classed.join(main.select("bucket"), "bucket", "left_semi").select("key", "class").distinct(), data)
-        more = written(verified(pairs.distinct(), data), "links")
-        links = written(links.union(more).distinct(), "links")
-    return links
+    node = F.struct("key", "n")
+    small = members.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(node)).alias("x"))
+    pairs = small.select(F.explode(F.flatten(F.transform("x", lambda x, i: F.transform(F.slice("x", i + 2, F.lit(SMALL_BUCKET)), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
+    large = members.where(F.col("size") > SMALL_BUCKET)
+    pivots = large.groupBy("bucket").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("bucket", F.struct("p.key", "p.n").alias("y"))
+    pairs = pairs.union(large.join(pivots, "bucket").select(node.alias("x"), "y")).where((F.col("x.key") != F.col("y.key")) & _long_enough(F.col("x.n"), F.col("y.n")))
+    links = written(verified(pairs.select(*_ordered("x.key", "y.key")).distinct(), data), "links")
+    labels = components(links)
+
+    classed = large.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("class"))
+    classed = written(classed, "classed")
+    mixed = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    rest = classed.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("key").agg(F.first("class").alias("class"))
+    more = written(verified(_remaining(rest, data).distinct(), data), "more")
+    return links.unionByName(more), joined_classes(labels, more)
 
 
 def _remaining(rows: DataFrame, data: DataFrame) -> DataFrame:
@@ -255,7 +274,8 @@ def _remaining(rows: DataFrame, data: DataFrame) -> DataFrame:
     y = posts.alias("y")
     once = (F.col("y.class") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
     enough = F.least("x.left", "y.left") >= SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & enough).select(*_ordered("x.key", "y.key"))
+    fits = _long_enough(F.col("x.n"), F.col("y.n")) & enough
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits).select(*_ordered("x.key", "y.key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,8 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept marks the row that stays; where rows repeat in doc_id and text it marks each of them.
     """
     rows = written(sketches(docs), "sketches")
-    links = find_links(docs, rows)
-    labels = components(links)
+    links, labels = find_links(rows)
     degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links_found"))
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     texts = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
@@ -281,11 +300,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs."""
     found = written(near_duplicates(docs).where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("times")), "kept")
-    rows = docs.withColumn("_near_key", text_key())
-    match = rows["_near_key"].eqNullSafe(found["key"]) & rows["doc_id"].eqNullSafe(found["doc_id"])
-    kept = rows.join(found.select("key", "doc_id", "times"), match, "inner").select(*[rows[c] for c in docs.columns], rows["_near_key"], "times")
-    once = kept.where("times = 1").select(*docs.columns)
-    again = kept.where("times > 1").dropDuplicates(["doc_id", "_near_key"]).select(*docs.columns)
+    # the columns of docs travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.col("doc_id"), text_key().alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = rows.alias("r").join(found.alias("f"), (F.col("r.key") == F.col("f.key")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")))
+    kept = kept.select("r.doc_id", "r.key", "r.row", "f.times")
+    once = kept.where("times = 1").select("row.*")
+    again = kept.where("times > 1").dropDuplicates(["doc_id", "key"]).select("row.*")
     return once.unionByName(again)
 
 
