@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, chat_format, fingerprints, licenses, near_duplicates, packing, pii, quality_rules, secrets, token_counts
 
@@ -100,9 +101,10 @@ def test_byte_bpe(docs, none):
     for i, t in texts():
         ids = library.encode_ordinary(t)
         want[i, len(ids), np.array(ids, "<u4").tobytes(), t.encode()] += 1
-    rows = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
-    assert collections.Counter((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in rows) == want
-    assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
+    rows = byte_bpe.encode(docs, path).withColumn("decoded", byte_bpe.decoded(F.col("ids"), path)).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, bytes(r.ids_bytes), bytes(r.decoded)) for r in rows) == want
+    assert all(np.array(r.ids, "<u4").tobytes() == bytes(r.ids_bytes) for r in rows)
+    assert byte_bpe.encode(none, path).count() == 0
 
 
 def test_chat_format(spark):

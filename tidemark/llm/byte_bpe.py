@@ -1,13 +1,12 @@
 """Byte-level BPE by Spark's higher-order functions, and decoding.
 
-A block of documents is split into pre-tokens; its distinct words travel beside it as one array.  Spark folds the
-ranked merges over each word's array of bytes: the state holds the pieces and the rank of every adjacent pair, a step
-merges the least rank (the leftmost of equals) and looks up only the two pairs that are new.  The ranks are one literal:
-a hash table of small maps, as a plain Spark map would be searched from end to end.  The block's documents are then put
-together from their words' ids, and decoded by concatenating the pieces of those ids.  Nothing is shuffled or broadcast
-that grows with the data.
-
-Bytes are written as the characters U+0000 to U+00FF, so that pieces are strings to Spark.
+A block of documents is split into pre-tokens by the splitter's automaton; its distinct words travel beside it as one array.
+Spark folds the ranked merges over each word.  The state is an array of the word's pieces with, between two pieces, the
+rank at which they merge: [end, none, piece, rank, piece, ..., piece, none, end].  Ranks are negative and pieces are not, so the
+least entry is the merge that comes next (the leftmost of equals); a step puts the merged piece in the place of both and
+looks up only the two ranks that are new.  The ranks are one literal: a hash table of pairs of pieces, as a plain Spark map
+would be searched from end to end.  The block's documents are then put together from their words' ids, and decoded by
+concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data.
 
 Defined edge cases: a null text counts as empty and has no tokens; a word of any length is merged whole; repeated rows
 each give a row; an empty table gives an empty result; other columns are ignored.
@@ -17,21 +16,22 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_or_empty
+from .token_counts import word_starts
 
 #: Bytes of text that share one array of distinct words.
-BLOCK_BYTES = 16 << 20
-#: Stands for a pair that is no token.
-NO_RANK = 1 << 30
+BLOCK_BYTES = 24 << 20
+#: Marks a rank among pieces; no merge; hash slots of the pairs.
+RANK, NONE, SLOTS = -(1 << 30), 1 << 29, 187_651
 
 
 @lru_cache(maxsize=2)
@@ -40,99 +40,159 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of maps; a piece stands in the map that its hash names."""
-    slots = 1 << max(4, len(ranks).bit_length())
-    pieces = [k.decode("latin-1") for k in ranks]
-    maps: list[dict[str, int]] = [{} for _ in range(slots)]
-    for piece in pieces:
-        maps[zlib.crc32(piece.encode()) % slots][piece] = ranks[piece.encode("latin-1")]
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-_RANK = "coalesce(try_element_at(get(ranks, cast(crc32(encode({k}, 'UTF-8')) % {slots} as int)), {k}), {none})"
-
+def merges(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """left, right, rank of every pair of pieces that together are a piece, which is named by that rank."""
+    for piece, rank in ranks.items():
+        for at in range(1, len(piece)):
+            left, right = ranks.get(piece[:at]), ranks.get(piece[at:])
+            if left is not None and right is not None:
+                yield left, right, rank
 
-def encode_words(ranks: dict[bytes, int]) -> Column:
-    """array<array<int>>: the ids of each string in the column `words`, by the rank table in the column `rank_table`."""
-    slots = 1 << max(4, len(ranks).bit_length())
-    rank = lambda k: f"transform(array({k}), k -> {_RANK.format(k='k', slots=slots, none=NO_RANK)})[0]"
-    # s.p: the pieces; s.r: the rank of each piece with the next.  i counts from 1.
-    merge = f"""transform(array(cast(array_position(s.r, m) as int)), i -> transform(array(concat(s.p[i - 1], s.p[i])), t -> named_struct(
-        'p', concat(slice(s.p, 1, i - 1), array(t), slice(s.p, i + 2, size(s.p))),
-        'r', concat(slice(s.r, 1, greatest(i - 2, 0)),
-                    if(i > 1, array({rank("concat(s.p[i - 2], t)")}), cast(array() as array<int>)),
-                    if(i + 1 < size(s.p), array({rank("concat(t, s.p[i + 1])")}), cast(array() as array<int>)),
-                    slice(s.r, i + 2, size(s.r)))))[0])[0]"""
-    step = f"transform(array(array_min(s.r)), m -> if(m is null or m = {NO_RANK}, s, {merge}))[0]"
-    start = f"named_struct('p', p, 'r', transform(slice(p, 2, size(p)), (b, j) -> {rank('concat(p[j], b)')}))"
-    fold = f"aggregate(sequence(2, greatest(size(p), 2)), {start}, (s, n) -> {step}, s -> transform(s.p, x -> {rank('x')}))"
-    word = f"transform(array({rank('w')}), whole -> if(whole < {NO_RANK}, array(whole), transform(array(split(w, '')), p -> {fold})[0]))[0]"
-    return F.expr(f"transform(array(rank_table), ranks -> transform(words, w -> {word}))[0]")
 
-
-def blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """doc_ids, parts (of each document, the places of its words in words), words (the block's distinct ones)."""
+@lru_cache(maxsize=2)
+def rank_table(path: str) -> str:
+    """JSON of the hash table: small maps from a pair's key to its rank, each in the slot that the key names."""
+    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
+    for left, right, rank in merges(read_ranks(path)):
+        key = left * 65536 + right
+        slots[key % SLOTS][key] = rank + RANK
+    return json.dumps(slots, separators=(",", ":"))
+
+
+def ranks_of_block(path: str) -> Column:
+    """The literal ranks, parsed for each row of `words`: the text travels to a task far more cheaply than its objects."""
+    return F.from_json(F.when(F.size("words") >= 0, F.lit(rank_table(path))), "array<map<string,int>>")
+
+
+def encode_words() -> Column:
+    """array<array<int>>: the states in the column `words`, merged as far as the ranks in the column `ranks` go."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def rank(left: Column, right: Column) -> Column:
+        found = lambda key: F.coalesce(F.try_element_at(F.get("ranks", (key % SLOTS).cast("int")), key.cast("string")), F.lit(NONE))
+        return let(left.cast("long") * 65536 + right, found)
+
+    def merge(s: Column, m: Column) -> Column:
+        def at(k: Column) -> Column:
+            made = lambda t: F.concat(F.slice(s, F.lit(1), k - 3), F.array(rank(F.get(s, k - 4), t), t, rank(t, F.get(s, k + 2))), F.slice(s, k + 3, F.size(s)))
+            return let(m - RANK, made)
+
+        return let(F.array_position(s, m).cast("int"), at)
+
+    step = lambda s, _: let(F.array_min(s), lambda m: F.when(m < 0, merge(s, m)).otherwise(s))
+    # a word of n bytes has 2 * n + 3 entries, and at most n - 1 merges
+    return F.transform("words", lambda w: F.aggregate(F.sequence(F.lit(2), F.greatest(((F.size(w) - 3) / 2).cast("int"), F.lit(2))), w, step))
+
+
+def states(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
+    """Of each word, the state before the first merge."""
+    end = len(ranks)
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    pairs = np.full((256, 256), NONE, np.int32)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            pairs[piece[0], piece[1]] = rank + RANK
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    n = np.diff(offsets)
+    ends = np.cumsum(2 * n + 3)
+    starts = ends - (2 * n + 3)
+    out = np.full(int(ends[-1]) if len(ends) else 0, NONE, np.int32)
+    out[starts] = out[ends - 1] = end
+    at = np.repeat(starts + 2 - 2 * (offsets[:-1] - offsets[0]), n) + 2 * np.arange(len(raw))
+    out[at] = of_byte[raw]
+    out[at[:-1] + 1] = np.where(np.diff(at) == 2, pairs[raw[:-1], raw[1:]], NONE)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+
+
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of all texts in order, and how many each text has."""
+    joined, starts = word_starts(texts)
+    raw = joined.encode("utf-8", "surrogatepass")
+    if len(raw) > len(joined):
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))[starts]
+    # every text is followed by a mark, which is no word of it
+    ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]) - 1
+    marks = np.searchsorted(starts, ends)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw)])
+    held = np.ones(len(starts), bool)
+    held[marks] = False
+    return words.filter(pa.array(held)), np.diff(np.append(-1, marks)) - 1
+
+
+def blocks(docs: DataFrame, path: str) -> DataFrame:
+    """doc_ids, parts (of each document, the places of its words in words), words (the block's distinct ones, as states)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    def block(ids: list[pa.Array], words: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
+        places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        parts = [x.tobytes() for x in np.split(places, np.cumsum(np.concatenate(counts))[:-1])]
+        held = states(coded.dictionary, read_ranks(path))
+        n = len(parts)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(parts, pa.binary())), one(held)], names=["doc_ids", "parts", "words"]) if n else None
 
-        find = regex.compile(pattern).findall
-        for batch in slices(batches, most=BLOCK_BYTES):
-            place: dict[str, int] = {}
-            parts = []
-            for text in batch.column("text").to_pylist():
-                words = find(text)
-                parts.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)).tobytes())
-            shown = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in place]
-            ids = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([parts], pa.list_(pa.binary())), pa.array([shown], pa.list_(pa.string()))], names=["doc_ids", "parts", "words"])
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_ids array<{id_type}>, parts array<binary>, words array<string>")
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every document."""
-    ranks = read_ranks(ranks_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, counts, size = [], [], [], 0
+        for batch in slices(batches):
+            found, n = split_words(batch.column("text").to_pylist())
+            ids.append(batch.column("doc_id"))
+            words.append(found)
+            counts.append(n)
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if size >= BLOCK_BYTES:
+                yield block(ids, words, counts)
+                ids, words, counts, size = [], [], [], 0
+        if ids:
+            yield block(ids, words, counts)
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_ids array<{id_type}>, parts array<binary>, words array<array<int>>")
+
+
+def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_bytes (little-endian unsigned 32-bit) of every document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1)
-                words = row.column("ids").flatten()
-                flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                size = np.diff(words.offsets.to_numpy())
-                start = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+        end = len(read_ranks(ranks_path))
+        for row in (batch.slice(k, 1) for batch in batches for k in range(len(batch))):
+            held = row.column("words").flatten()
+            offsets = held.offsets.to_numpy()
+            flat = held.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            piece = (flat >= 0) & (flat < end)  # neither ranks nor ends
+            stops = np.append(0, np.cumsum(piece))[offsets - offsets[0]]
+            flat, size, start = flat[piece].astype("<u4"), np.diff(stops), stops[:-1]
+            doc_ids, parts = row.column("doc_ids").flatten(), row.column("parts").flatten()
+            for k in range(0, len(parts), 500):
                 out = []
-                for part in row.column("parts").flatten().to_pylist():
+                for part in parts.slice(k, 500).to_pylist():
                     at = np.frombuffer(part, np.int32)
                     n = size[at]
                     ends = np.cumsum(n)
-                    out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + n, n)].tobytes())
-                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    rows = blocks(docs, pattern).withColumn("rank_table", rank_table(ranks)).select("doc_ids", "parts", encode_words(ranks).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids binary")
+                    out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + n, n)])
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
+                raw = pa.array([x.tobytes() for x in out], pa.binary())
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 500), pa.array([len(x) for x in out], pa.int64()), ids, raw], names=["doc_id", "n_tokens", "ids", "ids_bytes"])
 
+    rows = blocks(docs, ranks_path).withColumn("ranks", ranks_of_block(ranks_path)).select("doc_ids", "parts", encode_words().alias("words"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids array<int>, ids_bytes binary")
 
-def decode(rows: DataFrame, ranks_path: str, column: str = "ids") -> DataFrame:
-    """rows with `decoded`, the bytes that the ids stand for."""
-    schema = rows.withColumn("decoded", F.lit(b"")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: p for p, i in read_ranks(ranks_path).items()}.__getitem__
-        for batch in batches:
-            out = [x and b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+def decoded(ids: Column, ranks_path: str) -> Column:
+    """The bytes that an array of ids stands for: their pieces, one behind the other.
 
-    return rows.mapInArrow(run, schema)
+    Pieces are written as the characters U+0000 to U+00FF, as Spark joins arrays of strings only.
+    """
+    pieces = sorted((rank, piece.decode("latin-1")) for piece, rank in read_ranks(ranks_path).items())
+    held = F.from_json(F.lit(json.dumps([p for _, p in pieces])), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(held, i)), ""), "ISO-8859-1")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = encode(table(spark, sf_dir, "documents"), ranks)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
