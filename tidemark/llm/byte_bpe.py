@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_or_empty
 from .token_counts import word_starts
 
-#: Bytes of text that share one array of distinct words.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text that share one array of distinct words, and that are split at once.
+BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
 #: Marks a rank among pieces; no merge; hash slots of the pairs.
 RANK, NONE, SLOTS = -(1 << 30), 1 << 29, 187_651
 
@@ -99,7 +99,8 @@ def states(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
     starts = ends - (2 * n + 3)
     out = np.full(int(ends[-1]) if len(ends) else 0, NONE, np.int32)
     out[starts] = out[ends - 1] = end
-    at = np.repeat(starts + 2 - 2 * (offsets[:-1] - offsets[0]), n) + 2 * np.arange(len(raw))
+    at = np.repeat((starts + 2 - 2 * (offsets[:-1] - offsets[0])).astype(np.int32), n)
+    at += 2 * np.arange(len(raw), dtype=np.int32)
     out[at] = of_byte[raw]
     out[at[:-1] + 1] = np.where(np.diff(at) == 2, pairs[raw[:-1], raw[1:]], NONE)
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
@@ -125,28 +126,29 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     """doc_ids, parts (of each document, the places of its words in words), words (the block's distinct ones, as states)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def block(ids: list[pa.Array], words: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
-        coded = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
-        places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        parts = [x.tobytes() for x in np.split(places, np.cumsum(np.concatenate(counts))[:-1])]
-        held = states(coded.dictionary, read_ranks(path))
-        n = len(parts)
+    def block(ids: list[pa.Array], coded: list[pa.DictionaryArray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        held = pa.concat_arrays([x.dictionary for x in coded]).dictionary_encode()  # the slices' words are distinct; now the block's
+        place, parts, at = held.indices.to_numpy(zero_copy_only=False), [], 0
+        for x, n in zip(coded, counts):
+            places = place[at : at + len(x.dictionary)][x.indices.to_numpy(zero_copy_only=False)].astype(np.int32, copy=False)
+            parts += [y.tobytes() for y in np.split(places, np.cumsum(n)[:-1])]
+            at += len(x.dictionary)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(parts, pa.binary())), one(held)], names=["doc_ids", "parts", "words"]) if n else None
+        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(parts, pa.binary())), one(states(held.dictionary, read_ranks(path)))], names=["doc_ids", "parts", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, counts, size = [], [], [], 0
-        for batch in slices(batches):
+        ids, coded, counts, size = [], [], [], 0
+        for batch in slices(batches, most=SPLIT_BYTES):
             found, n = split_words(batch.column("text").to_pylist())
             ids.append(batch.column("doc_id"))
-            words.append(found)
+            coded.append(found.dictionary_encode())
             counts.append(n)
             size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             if size >= BLOCK_BYTES:
-                yield block(ids, words, counts)
-                ids, words, counts, size = [], [], [], 0
+                yield block(ids, coded, counts)
+                ids, coded, counts, size = [], [], [], 0
         if ids:
-            yield block(ids, words, counts)
+            yield block(ids, coded, counts)
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_ids array<{id_type}>, parts array<binary>, words array<array<int>>")
 
