@@ -1,12 +1,13 @@
 """Byte-level BPE by Spark's higher-order functions, and decoding.
 
-A block of documents is split into pre-tokens by the splitter's automaton; its distinct words travel beside it as one array.
-Spark folds the ranked merges over each word.  The state is an array of the word's pieces with, between two pieces, the
-rank at which they merge: [end, none, piece, rank, piece, ..., piece, none, end].  Ranks are negative and pieces are not, so the
-least entry is the merge that comes next (the leftmost of equals); a step puts the merged piece in the place of both and
-looks up only the two ranks that are new.  The ranks are one literal: a hash table of pairs of pieces, as a plain Spark map
-would be searched from end to end.  The block's documents are then put together from their words' ids, and decoded by
-concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data.
+Documents are split into pre-tokens by the splitter's automaton.  A task passes each distinct word once, as a row of its own
+before the documents that hold it, and a document as the numbers of its words.  Spark folds the ranked merges over each
+word.  The state is an array of the word's pieces with, between two pieces, the rank at which they merge: [end, none,
+piece, rank, piece, ..., piece, none, end].  Ranks are negative and pieces are not, so the least entry is the merge that
+comes next (the leftmost of equals); a step puts the merged piece in the place of both and looks up only the two ranks
+that are new.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain Spark map would be searched
+from end to end.  The same task then puts the documents together from their words' ids, and they are decoded by
+concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows stay small.
 
 Defined edge cases: a null text counts as empty and has no tokens; a word of any length is merged whole; repeated rows
 each give a row; an empty table gives an empty result; other columns are ignored.
@@ -21,17 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_or_empty
 from .token_counts import word_starts
 
-#: Bytes of text that share one array of distinct words, and that are split at once.
-BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
-#: Marks a rank among pieces; no merge; hash slots of the pairs.
-RANK, NONE, SLOTS = -(1 << 30), 1 << 29, 187_651
+#: Bytes of text that are split at once; distinct words that a task numbers before it starts afresh.
+SPLIT_BYTES, NUMBERED_WORDS = 2 << 20, 600_000
+#: Marks a rank among pieces; no merge; bits of a rank in the hash table.
+RANK, NONE, RANK_BITS = -(1 << 30), 1 << 29, 20
 
 
 @lru_cache(maxsize=2)
@@ -50,26 +50,43 @@ def merges(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=2)
-def rank_table(path: str) -> str:
-    """JSON of the hash table: small maps from a pair's key to its rank, each in the slot that the key names."""
-    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
-    for left, right, rank in merges(read_ranks(path)):
-        key = left * 65536 + right
-        slots[key % SLOTS][key] = rank + RANK
-    return json.dumps(slots, separators=(",", ":"))
+def rank_table(path: str) -> tuple[list[int], list[int]]:
+    """A perfect hash table of the pairs: each group's displacement, and in each slot key << RANK_BITS | rank, or -1.
 
-
-def ranks_of_block(path: str) -> Column:
-    """The literal ranks, parsed for each row of `words`: the text travels to a task far more cheaply than its objects."""
-    return F.from_json(F.when(F.size("words") >= 0, F.lit(rank_table(path))), "array<map<string,int>>")
-
-
-def encode_words() -> Column:
-    """array<array<int>>: the states in the column `words`, merged as far as the ranks in the column `ranks` go."""
+    A pair's slot is (key + displacement of its group * (1 + key % (slots - 2))) % slots; groups are placed largest first.
+    """
+    pairs = {left * 65536 + right: rank for left, right, rank in merges(read_ranks(path))}
+    slots, groups = int(1.4 * len(pairs)) | 1, len(pairs) // 3 + 1
+    members: list[list[int]] = [[] for _ in range(groups)]
+    for key in pairs:
+        members[key % groups].append(key)
+    displaced, held = [0] * groups, [-1] * slots
+    for g in sorted(range(groups), key=lambda g: -len(members[g])):
+        for d in range(1 << 20):
+            at = [(key + d * (1 + key % (slots - 2))) % slots for key in members[g]]
+            if len(set(at)) == len(at) and all(held[i] < 0 for i in at):
+                break
+        else:
+            raise ValueError("no perfect hash table was found")
+        displaced[g] = d
+        for i, key in zip(at, members[g]):
+            held[i] = key << RANK_BITS | pairs[key]
+    return displaced, held
+
+
+def merged(state: Column, path: str) -> Column:
+    """A word's state, merged as far as the ranks go."""
+    displaced, held = rank_table(path)
+    slots, groups = len(held), len(displaced)
+    literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    moves, entries = literal(displaced), literal(held)
     let = lambda value, body: F.transform(F.array(value), body)[0]
 
     def rank(left: Column, right: Column) -> Column:
-        found = lambda key: F.coalesce(F.try_element_at(F.get("ranks", (key % SLOTS).cast("int")), key.cast("string")), F.lit(NONE))
+        def found(key: Column) -> Column:
+            slot = (key + F.get(moves, (key % groups).cast("int")) * (key % (slots - 2) + 1)) % slots
+            return let(F.get(entries, slot.cast("int")), lambda e: F.when(F.shiftright(e, RANK_BITS) == key, e.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int") + RANK).otherwise(NONE))
+
         return let(left.cast("long") * 65536 + right, found)
 
     def merge(s: Column, m: Column) -> Column:
@@ -81,7 +98,8 @@ def encode_words() -> Column:
 
     step = lambda s, _: let(F.array_min(s), lambda m: F.when(m < 0, merge(s, m)).otherwise(s))
     # a word of n bytes has 2 * n + 3 entries, and at most n - 1 merges
-    return F.transform("words", lambda w: F.aggregate(F.sequence(F.lit(2), F.greatest(((F.size(w) - 3) / 2).cast("int"), F.lit(2))), w, step))
+    most = F.greatest(((F.size(state) - 3) / 2).cast("int"), F.lit(2))
+    return F.when(state.isNotNull(), F.aggregate(F.sequence(F.lit(2), most), state, step))
 
 
 def states(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
@@ -122,35 +140,54 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(held)), np.diff(np.append(-1, marks)) - 1
 
 
-def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """doc_ids, parts (of each document, the places of its words in words), words (the block's distinct ones, as states)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def numbered_words(docs: DataFrame, path: str) -> DataFrame:
+    """Rows of words and rows of documents, in the order in which they must be read.
 
-    def block(ids: list[pa.Array], coded: list[pa.DictionaryArray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        held = pa.concat_arrays([x.dictionary for x in coded]).dictionary_encode()  # the slices' words are distinct; now the block's
-        place, parts, at = held.indices.to_numpy(zero_copy_only=False), [], 0
-        for x, n in zip(coded, counts):
-            places = place[at : at + len(x.dictionary)][x.indices.to_numpy(zero_copy_only=False)].astype(np.int32, copy=False)
-            parts += [y.tobytes() for y in np.split(places, np.cumsum(n)[:-1])]
-            at += len(x.dictionary)
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([one(pa.concat_arrays(ids)), one(pa.array(parts, pa.binary())), one(states(held.dictionary, read_ranks(path)))], names=["doc_ids", "parts", "words"])
+    era counts the times that numbering started afresh; word is a new word's state, in the order of their numbers;
+    doc_id, part are a document and the numbers of its words.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, coded, counts, size = [], [], [], 0
+        names, era = ["era", "word", "doc_id", "part"], 0
+        numbers: dict[bytes, int] = {}
         for batch in slices(batches, most=SPLIT_BYTES):
-            found, n = split_words(batch.column("text").to_pylist())
-            ids.append(batch.column("doc_id"))
-            coded.append(found.dictionary_encode())
-            counts.append(n)
-            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-            if size >= BLOCK_BYTES:
-                yield block(ids, coded, counts)
-                ids, coded, counts, size = [], [], [], 0
-        if ids:
-            yield block(ids, coded, counts)
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_ids array<{id_type}>, parts array<binary>, words array<array<int>>")
+            found, counts = split_words(batch.column("text").to_pylist())
+            coded = found.dictionary_encode()
+            if len(numbers) + len(coded.dictionary) > NUMBERED_WORDS:
+                numbers, era = {}, era + 1
+            known = len(numbers)
+            place = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int32)
+            new = states(coded.dictionary.filter(pa.array(place >= known)), read_ranks(path))
+            for k in range(0, len(new), 10_000):
+                part = new.slice(k, 10_000)
+                none = [pa.nulls(len(part), batch.schema.field("doc_id").type), pa.nulls(len(part), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), era, np.int32)), part, *none], names=names)
+            parts = np.split(place[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts)[:-1])
+            held = [pa.array(np.full(len(batch), era, np.int32)), pa.nulls(len(batch), new.type), batch.column("doc_id"), pa.array([x.tobytes() for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(held, names=names)
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"era int, word array<int>, doc_id {id_type}, part binary")
+
+
+class Ids:
+    """The ids of the words numbered so far."""
+
+    def __init__(self, end: int):
+        self.end, self.flat, self.stops = end, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def add(self, words: pa.ListArray) -> None:
+        flat = words.flatten().to_numpy(zero_copy_only=False)
+        piece = (flat >= 0) & (flat < self.end)  # neither ranks nor ends
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        self.stops = np.append(self.stops, self.stops[-1] + np.append(0, np.cumsum(piece))[offsets[1:]])
+        self.flat = np.append(self.flat, flat[piece].astype("<u4"))
+
+    def of(self, part: bytes) -> np.ndarray:
+        at = np.frombuffer(part, np.int32)
+        n = self.stops[at + 1] - self.stops[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.stops[at] - ends + n, n)]
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -158,27 +195,22 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = len(read_ranks(ranks_path))
-        for row in (batch.slice(k, 1) for batch in batches for k in range(len(batch))):
-            held = row.column("words").flatten()
-            offsets = held.offsets.to_numpy()
-            flat = held.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            piece = (flat >= 0) & (flat < end)  # neither ranks nor ends
-            stops = np.append(0, np.cumsum(piece))[offsets - offsets[0]]
-            flat, size, start = flat[piece].astype("<u4"), np.diff(stops), stops[:-1]
-            doc_ids, parts = row.column("doc_ids").flatten(), row.column("parts").flatten()
-            for k in range(0, len(parts), 500):
-                out = []
-                for part in parts.slice(k, 500).to_pylist():
-                    at = np.frombuffer(part, np.int32)
-                    n = size[at]
-                    ends = np.cumsum(n)
-                    out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + n, n)])
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
-                raw = pa.array([x.tobytes() for x in out], pa.binary())
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 500), pa.array([len(x) for x in out], pa.int64()), ids, raw], names=["doc_id", "n_tokens", "ids", "ids_bytes"])
-
-    rows = blocks(docs, ranks_path).withColumn("ranks", ranks_of_block(ranks_path)).select("doc_ids", "parts", encode_words().alias("words"))
+        era, end, ids = -1, len(read_ranks(ranks_path)), None
+        for batch in batches:
+            eras = batch.column("era").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(eras)) + 1).tolist(), len(eras)]
+            for rows in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                if rows.column("era")[0].as_py() != era:
+                    era, ids = rows.column("era")[0].as_py(), Ids(end)
+                ids.add(rows.column("word").drop_null())
+                rows = rows.filter(rows.column("part").is_valid())
+                for part in (rows.slice(k, 500) for k in range(0, len(rows), 500)):
+                    out = [ids.of(x) for x in part.column("part").to_pylist()]
+                    n = [len(x) for x in out]
+                    held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), held, pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids", "ids_bytes"])
+
+    rows = numbered_words(docs, ranks_path).withColumn("word", merged(F.col("word"), ranks_path))
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids array<int>, ids_bytes binary")
 
 
