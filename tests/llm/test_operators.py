@@ -224,10 +224,67 @@ def test_secret_automaton_against_regex():
 
     found = secrets.automaton()
     rules = [(re.compile(r.pattern), r) for r in secrets.BASE_RULES + secrets.MORE_RULES]
-    bits = ["password", "token", "Secret", "=", ":", " ", '"', "abcdef0123456789abcdef012", "AKIA", "ABCDEFGHIJKLMNOPQ", "api_key", "é", "x", "ghp_", "0123456789abcdefghijklmnop", "-----BEGIN RSA PRIVATE KEY-----", "\n", "passwd=token:abcdef"]
+    bits = ["password", "token", "Secret", "=", ":", " ", '"', "abcdef0123456789abcdef012", "AKIA", "ABCDEFGHIJKLMNOPQ", "api_key", "é", "x", "ghp_", "0123456789abcdefghijklmnop", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n", "passwd=token:abcdef"]
     draw = random.Random(5)
     for _ in range(4000):
         text = "".join(draw.choice(bits) for _ in range(draw.randrange(14)))
-        want = sorted((m.start(), k, m.end()) for k, (p, r) in enumerate(rules) for m in p.finditer(text) if len(m[0]) >= r.least and (not r.group_least or len(m[2]) >= r.group_least))
+        tail = lambda r, end: end + len(re.match(r.tail, text[end:])[0]) if r.tail else end  # noqa: E731, B023
+        want = sorted((m.start(), k, tail(r, m.end())) for k, (p, r) in enumerate(rules) for m in p.finditer(text) if len(m[0]) >= r.least and (not r.group_least or len(m[2]) >= r.group_least))
         assert found.scan(text) == want
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_private_keys_are_redacted_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq" + chr(97 + i) * 40 for i in range(12)) + "\nq0b8=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    frame = spark.createDataFrame([(1, f"before {key} after"), (2, f"cut off {key[:500]}"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in secrets.redact_secrets(frame).collect()}
+    assert rows[1] == "before [SECRET] after" and rows[2] == "cut off [SECRET]" and rows[3] is None
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    clash = ["removed_lines", "key", "row", "times", "_quality_key", "words", "n", "bands", "rid", "class_id", "kept"]
+    rows = [(i, " ".join(f"{chr(97 + i)}{j}" for j in range(40)), "s", *[7] * len(clash)) for i in range(3)] * 2 + [(None, None, None, *[None] * len(clash)), (8, "", "s", *[7] * len(clash))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in clash)).coalesce(2)
+    for stage in (quality_rules.filter_documents, near_duplicates.keep_one, secrets.redact_secrets):
+        got = stage(frame)
+        assert got.columns == frame.columns
+        assert {r[c] for r in got.where("doc_id < 3").collect() for c in clash} == {7}
+        assert stage(frame.where("false")).count() == 0
+    assert packing.best_fit_pack(frame, public_tokenizers.path("word_bpe_49k.json")).count() == len(rows)
+
+
+def reference_spans(text: str) -> list[tuple[int, int, int]]:
+    """The base spans of the contract by the re module."""
+    def luhn(d):
+        return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(rules) for m in re.finditer(p, text) if good(m[0]))
+
+
+def test_personal_data_against_regex(spark):
+    import random
+
+    draw = random.Random(11)
+    bits = ["a.b", "@", "x-y.org", "_d", "1.2.3.4", "256.1", ".7.8", " ", "4111 1111 1111 1111", "4111-1111", "+1 (743) 555-3824", "+49", "12345678", "-", "é", "(", ")", "%", "o", "0"]
+    rows = [(i, "".join(draw.choice(bits) for _ in range(draw.randrange(16)))) for i in range(1500)]
+    got = {r.doc_id: [(s.start, s.k, s.stop) for s in r.base] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == reference_spans(text), text
+
+
+def test_personal_data_of_long_texts(spark):
+    import time
+
+    rows = [(0, "a" * 300_000), (1, "7" * 300_000), (2, " ".join(f"10.0.{i % 256}.{i // 256}" for i in range(4000))), (3, "a.b-" * 50_000 + "@x.org")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    n = {r.doc_id: len(r.base) for r in pii.find_personal_data(frame).collect()}
+    assert n == {0: 0, 1: 0, 2: 4000, 3: 1} and time.time() - start < 90

@@ -17,23 +17,16 @@ a null doc_id comes after all others; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import let, table, text_or_empty, written
 
 KMER, TUPLE, BIN_BITS = 5, 2, 5
 BINS = 1 << BIN_BITS
 BLANK = "----"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def _bin(value: Column) -> Column:
     return F.shiftright(value, 64 - BIN_BITS)
 

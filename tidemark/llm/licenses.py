@@ -19,8 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
-from .fingerprints import let
+from .common import let, sums_before, table, text_or_empty
 from .license_rules import WEIGHTS, rules
 
 #: The places that the contract counts: words that stand consecutively, and their label.
@@ -61,14 +60,11 @@ def detections(norm: Column, gated: Column) -> Column:
 
     def of(rule: Column) -> Column:
         def placed(found: Column, pieces: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,back:int,priority:int,label:string,weight:double>>").alias("out"))
+            def span(start: Column, m: Column) -> Column:
+                return F.struct(start.alias("start"), (-start - F.length(m)).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))
 
-            def add(acc: Column, m: Column) -> Column:
-                start = acc["at"] + F.length(F.get(pieces, F.size(acc["out"])))
-                span = F.struct(start.alias("start"), (-start - F.length(m)).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))
-                return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-            return F.aggregate(found, first, add, lambda acc: acc["out"])
+            before = sums_before(F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m)))
+            return let(before, lambda at: F.transform(found, lambda m, i: let(F.get(at, i) + F.length(F.get(pieces, i)), lambda start: span(start, m))))
 
         return let(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(norm, rule["pattern"]), lambda pieces: placed(found, pieces))))
 

@@ -33,8 +33,7 @@ SEPARATOR_ID = 1
 #: Pieces that one group packs; a group is one task's work.
 GROUP_PIECES = 20_000
 #: Written forms and lower-cased words whose ids a worker keeps; beyond it that table starts afresh.
-CACHE_FORMS, CACHE_WORDS = 250_000, 700_000
-ROUNDS = 4
+CACHE_FORMS, CACHE_WORDS = 600_000, 900_000
 
 
 @lru_cache(maxsize=2)
@@ -70,24 +69,23 @@ class WordIds:
             self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def _learn(self, forms: set[str]) -> None:
-        plain, new = {}, set()
+        plain, alone, new = [], set(), set()
         for form in forms:
             core = form.rstrip(".,")
             # letters below U+0130 are one run for the pre-tokenizer, and lower-casing them is one to one
-            if core.isalpha() and max(core) < "İ":
-                plain[form] = core = core.lower()
-                if core not in self.words:
-                    new.add(core)
-                if (tail := form[len(core) :]) and tail not in self.words:
-                    self.words[tail] = self._alone(tail)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                tail, low = form[len(core) :], core.lower()
+                plain.append((form, low, tail))
+                new.add(low)
+                alone.add(tail)
             else:
-                self.forms[form] = self._alone(form)
-        self._encode(list(new))
-        for form, core in plain.items():
-            self.forms[form] = self.words[core] + self.words[form[len(core) :]]
-
-    def _alone(self, form: str) -> bytes:
-        return np.array(self.tokenizer.encode(form, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                alone.add(form)
+        self._encode(list(new.difference(self.words)))
+        alone = list(alone.difference(self.words))
+        for form, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.words[form] = np.array(coded.ids, dtype="<u4").tobytes()
+        self.forms.update((form, self.words[form]) for form in forms.intersection(alone))
+        self.forms.update((form, self.words[low] + self.words[tail]) for form, low, tail in plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
@@ -187,14 +185,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _pack_group(capacity: int, last: bool):
+def _pack_group(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rid", kind="stable")
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(lengths, capacity)
         final = np.ones(len(fill), bool)
-        if gap > 0 and not last:
+        if gap > 0:
             final[np.argsort(fill, kind="stable")[: 4 * gap + 4]] = False
         return pd.DataFrame({"rid": group["rid"], "length": lengths, "grp": group["grp"], "bin": bins, "offset": offsets, "final": final[bins], "certified": gap <= 0})
 
@@ -203,30 +201,23 @@ def _pack_group(capacity: int, last: bool):
 
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """rid, sequence_id, offset, certified for rows (rid, length); see the module's account of the method."""
-    spark = pieces.sparkSession
+    if group_pieces > 1 << 15:
+        raise ValueError("a group's bins are numbered in 15 bits")
     full = pieces.where(F.col("length") >= capacity).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
-    done, rest = [full], pieces.where(F.col("length") < capacity).select("rid", "length")
-    before = None
-    for k in range(ROUNDS):
-        n = rest.count()
-        if not n:
-            break
+    out, rest, opened, k = full, pieces.where(F.col("length") < capacity).select("rid", "length"), None, 0
+    while n := rest.count():
         groups = -(-n // group_pieces)
-        last = k == ROUNDS - 1 or groups == 1 or n == before
-        before = n
-        packed = written(
-            rest.withColumn("grp", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(groups))).groupBy("grp").applyInPandas(_pack_group(capacity, last), "rid long, length long, grp long, bin long, offset long, final boolean, certified boolean"),
-            f"packed{k}",
-        )
+        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(groups)))
+        packed = written(dealt.groupBy("grp").applyInPandas(_pack_group(capacity), "rid long, length long, grp long, bin long, offset long, final boolean, certified boolean"), f"packed{k}")
+        bins = packed.groupBy("grp", "bin").agg(F.first("final").alias("final")).agg(F.count("*").alias("bins"), F.count_if(~F.col("final")).alias("opened")).first()
+        # the exchange goes on as long as it saves a bin; a single group has nobody to exchange with
+        last = groups == 1 or opened is not None and bins["bins"] >= opened
         # bit 62 and the round keep these apart from the row ids that number the full sequences
-        number = F.lit((1 << 62) + (k << 58)) + F.col("grp") * (1 << 24) + F.col("bin")
-        done.append(packed.where("final").select("rid", number.alias("sequence_id"), "offset", "certified"))
-        rest = packed.where("not final").select("rid", "length")
+        number = F.lit((1 << 62) + (k << 46)) + F.col("grp") * (1 << 15) + F.col("bin")
+        out = out.unionByName((packed if last else packed.where("final")).select("rid", number.alias("sequence_id"), "offset", "certified"))
         if last:
             break
-    out = done[0]
-    for df in done[1:]:
-        out = out.unionByName(df)
+        rest, opened, k = packed.where("not final").select("rid", "length"), bins["opened"], k + 1
     return out
 
 

@@ -22,13 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
-from .fingerprints import let
+from .common import let, runs, sums_before, table, text_or_empty
 
 BASE = {
-    # possessive where nothing that follows could take back a character, so long runs cost no stack
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    # possessive where nothing that follows could take back a character, so long runs cost no stack; a match begins where its
+    # first run of characters does, or where the match before ended, so that long runs are tried once
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -55,23 +55,21 @@ def matches(text: Column, pattern: str) -> Column:
     empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
 
     def placed(found: Column, pieces: Column) -> Column:
-        def add(acc: Column, m: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pieces, F.size(acc["out"])))
-            stop = start + F.length(m)
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), m.alias("m")))).alias("out"))
-
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+        before = sums_before(F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m)))
+        span = lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"))
+        return let(before, lambda at: F.transform(found, lambda m, i: let(F.get(at, i) + F.length(F.get(pieces, i)), lambda start: span(start, m))))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, empty).otherwise(let(F.split(text, pattern), lambda pieces: placed(found, pieces))))
 
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the check."""
+    """Whether a string of digits passes the check; one of more than 32, which is no number of a card, does not."""
     def add(acc: Column, i: Column) -> Column:
         d = F.coalesce(F.substring(digits, -i, F.lit(1)).try_cast("int"), F.lit(0))
         return acc + F.when(i % 2 == 1, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add) % 10 == 0
+    passes = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add) % 10 == 0
+    return F.when(F.length(digits) <= 32, passes).otherwise(F.lit(False))
 
 
 def only_digits(m: Column) -> Column:
@@ -205,13 +203,24 @@ def selected(text: Column, base: Column, model: list, thresholds: dict[int, floa
     """array<struct<start, k, stop>> of the candidates that stay."""
     score = lambda f: reduce(lambda a, b: a + b, (_case(t, f) for t in model))
     least = F.create_map(*[F.lit(x) for p in thresholds.items() for x in p])
-    apart = lambda a, b: (a["stop"] <= b["start"]) | (b["stop"] <= a["start"])
-    found = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: ~apart(b, c)))
-    # the best comes first; ties: the earlier, then the longer
-    scored = F.transform(found, lambda c: F.struct((-score(c["f"])).alias("minus"), c["start"].alias("start"), (-c["stop"]).alias("back"), c["k"].alias("k"), c["stop"].alias("stop")))
-    passed = F.array_sort(F.filter(scored, lambda c: -c["minus"] >= F.try_element_at(least, c["k"])))
-    best = F.filter(let(passed, lambda p: F.transform(p, lambda c, i: F.when(~F.exists(F.slice(p, F.lit(1), i), lambda d: ~apart(c, d)), F.struct(c["start"].alias("start"), c["k"].alias("k"), c["stop"].alias("stop"))))), lambda c: c.isNotNull())
-    return best
+    clear = let(hulls(base), lambda h: F.filter(candidates(text), lambda c: ~meets(h, c, lambda b: F.lit(True))))
+    scored = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), score(c["f"]).alias("score"), c["k"].alias("k")))
+    passed = F.array_sort(F.filter(scored, lambda c: c["score"] >= F.try_element_at(least, c["k"])))
+    # the best score stays; ties: the earlier, then the longer, then the kind listed first
+    order = lambda c: F.struct(-c["score"], c["start"], -c["stop"], c["k"])
+    best = let(passed, lambda p: let(hulls(p), lambda h: F.filter(p, lambda c: ~meets(h, c, lambda d: order(d) < order(c)))))
+    return F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["stop"].alias("stop")))
+
+
+def hulls(spans: Column) -> Column:
+    """Runs of spans that are sorted by start, each with the least start and the greatest stop of its spans."""
+    return F.transform(runs(spans), lambda r: F.struct(F.array_min(F.transform(r, lambda x: x["start"])).alias("start"), F.array_max(F.transform(r, lambda x: x["stop"])).alias("stop"), r.alias("spans")))
+
+
+def meets(held: Column, c: Column, also) -> Column:
+    """Whether c overlaps a span of the hulls for which also() holds; only the runs around c are looked into."""
+    over = lambda a: (a["start"] < c["stop"]) & (c["start"] < a["stop"])
+    return F.exists(held, lambda h: over(h) & F.exists(h["spans"], lambda d: over(d) & also(d)))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -151,8 +151,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
-    """Rows of (text, removed_lines) with the text cleaned of those lines."""
+def remove_lines(rows: DataFrame) -> DataFrame:
+    """Rows of (row, text, removed_lines) with the text cleaned of those lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,19 +164,27 @@ def remove_lines(docs: DataFrame) -> DataFrame:
                 texts.append(text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their boilerplate lines; the columns of docs, n_chars brought up to date."""
     judged = verdicts(docs)
-    passed = judged.where("kept").groupBy(F.col("key").alias("_quality_key")).agg(F.first("removed_lines").alias("removed_lines"))
-    rows = docs.withColumn("_quality_key", row_key()).join(passed, "_quality_key")
-    same = rows.where(F.col("removed_lines").isNull()).select(*docs.columns)
-    fixed = remove_lines(rows.where(F.col("removed_lines").isNotNull()).select(*docs.columns, "removed_lines")).drop("removed_lines")
-    if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(fixed)
+    passed = judged.where("kept").groupBy("key").agg(F.first("removed_lines").alias("removed_lines"))
+    # the columns of docs travel in a struct, so that no name of theirs can clash
+    rows = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))
+    rows = rows.join(passed, "key").select("row", "text", "removed_lines")
+    fixed = remove_lines(rows.where(F.col("removed_lines").isNotNull()))
+
+    def shown(c: str, changed: bool) -> Column:
+        kind = docs.schema[c].dataType
+        if c == "text":
+            return F.col("text").cast(kind).alias(c)
+        return F.length("text").cast(kind).alias(c) if c == "n_chars" and changed else F.col("row")[c].alias(c)
+
+    parts = [(rows.where(F.col("removed_lines").isNull()), False), (fixed, True)]
+    same, cleaned = [df.select(*[shown(c, changed) for c in docs.columns]) for df, changed in parts]
+    return same.unionByName(cleaned)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

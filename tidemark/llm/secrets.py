@@ -35,6 +35,7 @@ class Rule(NamedTuple):
     pattern: str
     least: int = 1  # bytes of a match; shorter ones are dropped without another try
     group_least: int = 0  # the same for group 2
+    tail: str = ""  # what of the text behind a match belongs to it
 
 
 BASE_RULES = (
@@ -45,7 +46,11 @@ BASE_RULES = (
 #: Rules whose matches run on freely multiply the product's states, so keys with a telling prefix are one rule.
 MORE_RULES = (
     Rule("key", r"(gh[pousr]_|glpat-|npm_|AIza|xox[abprs]-|[sr]k_live_)[A-Za-z0-9_-]+", 24),
-    Rule("pem", r"-----BEGIN\x20(RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----"),
+    # the key itself and its last line, the header lines of an encrypted one first
+    Rule(
+        "pem", r"-----BEGIN\x20(RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----",
+        tail=r"(?:[\r\n]++(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:[\x20\t\r\n]*+[A-Za-z0-9+/]{16,}+=*+)*+(?:[\x20\t\r\n]*+[A-Za-z0-9+/]++=*+(?=[\x20\t\r\n]*+-----END))?+(?:[\x20\t\r\n]*+-----END\x20(?:RSA\x20|EC\x20|OPENSSH\x20)?PRIVATE\x20KEY-----)?+",
+    ),
 )
 #: A byte that no UTF-8 text holds; it ends every match.
 END = 0xFF
@@ -72,6 +77,7 @@ class Machine:
         self.back_start = self._closed({self.last}, self.back_empty)
         self.back_seen: dict[tuple[frozenset, int], frozenset] = {}
         self.exact = re.compile(rule.pattern.encode())
+        self.tail = re.compile(rule.tail.encode()) if rule.tail else None
 
     def _state(self) -> int:
         self.moves.append([])
@@ -241,7 +247,7 @@ class Automaton:
                 start = machine.span_start(raw, end, floors[k])
                 floors[k] = end
                 if machine.holds(raw[start:end]):
-                    spans.append((start, k, end))
+                    spans.append((start, k, machine.tail.match(raw, end, len(raw) - 1).end() if machine.tail else end))
         spans.sort()
         if len(raw) - 1 == len(text):
             return spans
