@@ -1 +1 @@
-from . import estimator  # noqa: F401  (registers its queries beside those of `queries`)
+from . import estimator, rules  # noqa: F401  (register their queries beside those of `queries`)

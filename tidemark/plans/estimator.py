@@ -114,15 +114,9 @@ def local_seed_history(spark, d):
     return sales(spark, d, True).where("year between 1996 and 1999").withColumn("source", F.when(F.col("year") == 1996, "exact").otherwise("history"))
 
 
-@query("select p_partkey, case p_size % 5 when 0 then 'performance/s' when 1 then 'body_style/wagon' when 2 then 'body_style/sportback' when 3 then 'performance/amg' else 'base' end as variant from part")
-def classify_variant(spark, d):
-    names = F.array(*map(F.lit, ("volvo s60", "elantra avante", "a5 sportback", "mercedes amg gt coupe", "golf")))
-    return table(spark, d, "part").select("p_partkey", text.classify_variant(F.get(names, F.col("p_size") % 5)).alias("variant"))
-
-
-@query("select o_orderkey, coalesce(year(o_orderdate) between c_nationkey + 1990 and c_nationkey + 1996, false) as active from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0")
+@query("select o_orderkey, coalesce(year(o_orderdate) between c_nationkey + 1990 and c_nationkey + 1996, false) as active from orders left join customer on o_custkey = c_custkey and c_acctbal > 0")
 def between_flag(spark, d):
-    some = table(spark, d, "customer").where("c_custkey % 2 = 0")
+    some = table(spark, d, "customer").where("c_acctbal > 0")
     start = F.col("c_nationkey") + 1990
     rows = table(spark, d, "orders").join(some, F.col("o_custkey") == F.col("c_custkey"), "left")
     return rows.select("o_orderkey", F.coalesce(F.year("o_orderdate").between(start, start + 6), F.lit(False)).alias("active"))
@@ -253,13 +247,18 @@ def html_table_kv(spark, d):
     return table(spark, d, "pages").select("page_id", markup.table_value(html, "Production").alias("years"))
 
 
-@query("select o_orderkey, row_number() over (order by o_orderdate nulls last, o_orderkey) as place from orders qualify place <= 100")
+@query("with t as (select o_orderkey, case when o_totalprice < 50000 then null else o_orderdate end as dated from orders) select o_orderkey, row_number() over (order by dated nulls last, o_orderkey) as place from t")
 def sort_nulls_last(spark, d):
-    """The first hundred in order; a top-k, so no task holds the table."""
+    """All orders numbered, those without a date last: range partitions in order, and one offset for each."""
     from pyspark.sql import Window
 
-    first = table(spark, d, "orders").orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey").limit(100)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey")).cast("long").alias("place"))
+    at = F.when(F.col("o_totalprice") >= 50000, F.col("o_orderdate"))
+    order = [F.asc_nulls_last("at"), F.col("o_orderkey")]
+    rows = table(spark, d, "orders").select("o_orderkey", at.alias("at")).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part")
+    return numbered.select("o_orderkey", (F.col("before") + F.col("i")).alias("place"))
 
 
 @query("select source, arg_min(doc_id, {'a': case when contains(text, '@') then 1 else 0 end, 'b': doc_id}) as doc_id from documents group by 1")

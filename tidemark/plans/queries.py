@@ -314,9 +314,9 @@ def keyword_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.rlike(F.lower("text"), F.lit("license|copyright|token")).alias("hit"), F.contains("text", F.lit("@")).alias("has_at"))
 
 
-@query("select doc_id, len(text) - len(replace(text, ' ', '')) as spaces, trim(regexp_replace(substr(text, 1, 200), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as head from documents")
+@query("select doc_id, len(text) - len(replace(text, ' ', '')) as spaces, sha256(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as collapsed from documents")
 def collapse_ws(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("spaces"), text.collapse_ws(F.substring("text", 1, 200)).alias("head"))
+    return table(spark, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("spaces"), F.sha2(text.collapse_ws(F.col("text")), 256).alias("collapsed"))
 
 
 @query()

@@ -1,0 +1,168 @@
+"""Queries of rules on written-out cases: the input rows, and beside them what the rules make of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import pages, text
+from ..operators import estimates, lookups
+from .queries import QUERIES, SQL, table
+
+
+def _shown(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, int):
+        return f"{v}::bigint"
+    return f"{v}::double" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+
+
+def given(schema: str, rows: list[tuple], names: str, expected: list[tuple]):
+    """Registers a query on the rows; its SQL is the expected table, with the columns that `names` lists."""
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(spark.createDataFrame(rows, schema))
+        SQL[f.__name__] = f"select * from (values {', '.join('(' + ', '.join(map(_shown, r)) + ')' for r in expected)}) t({names})"
+        return f
+
+    return add
+
+
+def one(f, cases: dict):
+    """A query on one text column, keyed by the text itself."""
+    given("raw string", [(k,) for k in cases], "raw, out", [(k, v) for k, v in cases.items()])(f)
+
+
+def variant_rules(df):
+    return df.select("raw", text.classify_variant(text.normalize_name(F.col("raw"))).alias("out"))
+
+
+one(variant_rules, {
+    "Volvo S60": "performance/s", "Volvo S 60": "performance/s", "BMW M 3": "performance/m", "Honda Civic Type R": "performance/perf", "Subaru WRX STI": "performance/perf",
+    "Hyundai i30 N": "performance/perf", "Mercedes-AMG GT Coupe": "performance/amg", "Audi RS 6 Avant": "performance/rs", "Ford Mondeo Estate": "body_style/wagon", "BMW 3 Touring": "body_style/wagon",
+    "VW Eos Convertible": "body_style/cabrio", "Fiat 124 Spider": "body_style/cabrio", "Mazda MX-5 Roadster": "body_style/cabrio", "Tesla Fastback": "body_style/fastback", "CLA Shooting Brake": "body_style/shooting_brake",
+    "Toyota Corolla Sedan": "base", "Golf": "base",
+})
+
+
+def clean_rules(df):
+    return df.select("raw", text.clean_generation(F.col("raw")).alias("out"))
+
+
+one(clean_rules, {
+    "null": "I", "—": "I", "--": "I", "Dominant": "I", " n/a ": "I", "Mk4 (6J)": "Mk4 (6J", "Mk1 (2007)": "Mk1", "XP150 / South India)": "XP150", "XP150 / India": "XP150 / India", "A â€“ B": "A - B", "A – B;": "A - B", "II": "II",
+})
+
+
+def short_gen_name(df):
+    return df.select("raw", text.short_generation(F.col("raw")).alias("out"))
+
+
+one(short_gen_name, {
+    "Golf mark vii (2012-2019)": "MkVII", "Mk 4": "Mk4", "Second generation (2004)": "II", "A3 Sportback 8Y": "A3", "W177 since 2018": "W177", "some heading (with a note)": "some heading",
+    "a heading that goes on for more than thirty-two characters": "a heading that goes on for more …",
+})
+
+
+@given("raw string", [(x,) for x in ("made 1960-1970 Mk (1990 - heute)", "(2004–2012)", "(facelift; 2004 — present)", "2004-2012 then (x)", "from 1999 - aktuell", "(2019-)", "no years")], "raw, \"start\", \"end\"", [
+    ("made 1960-1970 Mk (1990 - heute)", 1990, None), ("(2004–2012)", 2004, 2012), ("(facelift; 2004 — present)", 2004, None), ("2004-2012 then (x)", 2004, 2012), ("from 1999 - aktuell", 1999, None), ("(2019-)", 2019, None), ("no years", None, None),
+])
+def year_range_rules(df):
+    start, end = text.year_range(F.col("raw"))
+    return df.select("raw", start.cast("long").alias("start"), end.cast("long").alias("end"))
+
+
+@given("name string", [("Golf",), ("A5 Sportback",), ("Eos Cabrio",), ("Audi RS 6",), ("Volvo S60",), ("Mondeo Estate",)], "name, eu_low, eu_mid, eu_high, world_low, world_mid, world_high", [
+    ("Golf", 0.15, 0.25, 0.35, 0.12, 0.22, 0.32), ("A5 Sportback", 0.25, 0.35, 0.45, 0.22, 0.32, 0.42), ("Eos Cabrio", 0.06, 0.12, 0.18, 0.05, 0.1, 0.15),
+    ("Audi RS 6", 0.06, 0.12, 0.2, 0.05, 0.11, 0.18), ("Volvo S60", 0.05, 0.1, 0.18, 0.04, 0.09, 0.16), ("Mondeo Estate", 0.2, 0.3, 0.4, 0.18, 0.28, 0.36),
+])
+def variant_share_priors(df):
+    p = estimates.share_priors(text.classify_variant(text.normalize_name(F.col("name"))))
+    return df.select("name", *[p[r][s].alias(f"{r}_{s}") for r in ("eu", "world") for s in ("low", "mid", "high")])
+
+
+@given("rank int, presence int", [(1, 5), (10, 0), (30, 1), (60, 1), (61, 9), (None, 5), (None, 1), (None, 0)], "rank, presence, low, high", [
+    (1, 5, 0.25, 0.85), (10, 0, 0.25, 0.85), (30, 1, 0.15, 0.65), (60, 1, 0.08, 0.5), (61, 9, 0.03, 0.35), (None, 5, 0.08, 0.6), (None, 1, 0.04, 0.4), (None, 0, 0.01, 0.25),
+])
+def share_bands(df):
+    band = estimates.share_band(F.col("rank"), F.col("presence"))
+    return df.select(F.col("rank").cast("long").alias("rank"), F.col("presence").cast("long").alias("presence"), band["low"].alias("low"), band["high"].alias("high"))
+
+
+@given("name string, is_key boolean", [("audi a6", True), ("bmw 3 series", True), ("volkswagen passat", True), ("mercedes c class", True), ("Audi S6", False), ("Audi RS 6 Avant", False), ("BMW M3", False), ("Volkswagen Pasat Estate", False), ("Mercedes-AMG C Class", False), ("Kia Ceed", False)], "name, parent", [
+    ("Audi S6", "audi a6"), ("Audi RS 6 Avant", "audi a6"), ("BMW M3", "bmw 3 series"), ("Volkswagen Pasat Estate", "volkswagen passat"), ("Mercedes-AMG C Class", "mercedes c class"), ("Kia Ceed", None),
+])
+def parent_key_resolve(df):
+    return estimates.resolve_parents(df.where("not is_key").select("name"), df.where("is_key").select(F.col("name").alias("key")))
+
+
+@given("name string, is_key boolean", [("opel corsa 5", True), ("opel corsa 6", True), ("opel corsa", True), ("fiat panda", True), ("opel corsa 5x", False), ("opel corsa 7", False), ("piat panda", False), ("kia rio", False)], "query, match", [
+    ("opel corsa 5x", "opel corsa 5"), ("opel corsa 7", "opel corsa 5"), ("piat panda", "fiat panda"),
+])
+def fuzzy_name_rules(df):
+    """A query's digits bind only where some key has the same; the first letter does not."""
+    return lookups.best_match(df.where("not is_key").select(F.col("name").alias("query")), df.where("is_key").select(F.col("name").alias("key"))).select("query", "match")
+
+
+@given("model string, end int, text string", [("a", 2025, "Production ended in 2025."), ("b", 2025, "Facelift 2026 shown"), ("c", 2025, "nothing"), ("d", 2024, "facelift 2026"), ("e", 2025, "MY2026"), ("f", 2025, None)], "model, \"end\"", [
+    ("a", 2025), ("b", 2027), ("c", 2026), ("d", 2024), ("e", 2026), ("f", 2026),
+])
+def continuation_2025(df):
+    return estimates.continued_end(df.select("model", "end"), df.select("model", "text"))
+
+
+_CASE = "id string, eu long, world long, parent string, parent_eu long, parent_world long, variant string, has_history boolean, web_eu long, web_world long, rank int, presence int"
+
+
+@given(_CASE, [
+    ("local", 900, 5_000_000, None, None, None, "base", False, 1, 1, 5, 3),
+    ("derived", None, None, "golf", 1000, 3000, "base", False, None, None, None, 0),
+    ("too small", 100, 900, "golf", 1000, 3000, "base", True, None, None, 5, 3),
+    ("large", 300, 900, "golf", 1000, 3000, "base", True, None, None, 5, 3),
+    ("web", None, None, None, None, None, "base", False, 700, None, 40, 2),
+    ("history", None, None, None, None, None, "base", True, 700, 800, None, 0),
+    ("eu only", 850, None, None, None, None, "base", False, None, None, 5, 3),
+], "id, eu_exact, world_exact, eu_low, eu_high, world_low, world_high", [
+    ("local", 900, 3_000_000, None, None, None, None),
+    ("derived", 250, 660, 150, 350, 360, 960),
+    ("too small", 250, 900, 150, 350, 360, 960),
+    ("large", 300, 900, 150, 350, 360, 960),
+    ("web", 700, None, None, None, 1400, 8750),
+    ("history", None, None, None, None, None, None),
+    ("eu only", 850, None, None, None, 1000, 3400),
+])
+def build_constraints(df):
+    return estimates.constraints(df).select("id", *[F.col(c).cast("long").alias(c) for c in ("eu_exact", "world_exact", "eu_low", "eu_high", "world_low", "world_high")])
+
+
+_PAGES = [
+    ("headings", "<h2>First generation (2004-2012)</h2><h3>Mk 2 (2012-present)</h3><h2>Reception (1)</h2><h1>Third generation (1990-1991)</h1>"),
+    ("fulltext", "<h2>History</h2><p>The Second generation mk2 facelift (2004-2012) was long. Mk 3 sedan (code; 2012–present) followed.</p>"),
+    ("infobox", '<table class="infobox x"><tr><th>Maker</th><td>y</td></tr><tr><th>Production</th><td><b>1999</b> - 2003</td></tr></table>'),
+    ("nothing", "<h2>See also</h2>"),
+]
+
+
+@given("page string, html string", _PAGES, "page, place, label, \"start\", \"end\", source", [
+    ("headings", 0, "First generation (2004-2012)", 2004, 2012, "heading"), ("headings", 1, "Mk 2 (2012-present)", 2012, None, "heading"),
+    ("fulltext", 0, "History The Second generation mk2 facelift", 2004, 2012, "fulltext"), ("fulltext", 1, "was long. Mk 3 sedan", 2012, None, "fulltext"),
+    ("infobox", 0, "Infobox production/model years", 1999, 2003, "infobox"),
+])
+def html_cascade(df):
+    rows = df.select("page", F.posexplode(pages.generation_windows(F.col("html"))).alias("place", "w"))
+    return rows.select("page", F.col("place").cast("long").alias("place"), F.regexp_replace("w.label", r"^[ .]+", "").alias("label"), F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"), "w.source")
+
+
+@given("raw string", [('{"a": 1}',), ('Here: ```json\n{"b": {"c": 2}}\n``` done',), ("no json",)], "raw, doc", [
+    ('{"a": 1}', '{"a": 1}'), ('Here: ```json\n{"b": {"c": 2}}\n``` done', '{"b": {"c": 2}}'), ("no json", None),
+])
+def fenced_json(df):
+    return df.select("raw", text.fenced_json(F.col("raw")).alias("doc"))
+
+
+@given("raw string, path string", [('{"a": {"b": {"c": "x"}}}', "$.a.b.c"), ('{"a": {"b": null}}', "$.a.b.c"), ('{"a": 3}', "$.a.b"), (None, "$.a")], "raw, path, found", [
+    ('{"a": {"b": {"c": "x"}}}', "$.a.b.c", "x"), ('{"a": {"b": null}}', "$.a.b.c", None), ('{"a": 3}', "$.a.b", None), (None, "$.a", None),
+])
+def dotted_path(df):
+    return df.select("raw", "path", F.expr("get_json_object(raw, path)").alias("found"))

@@ -21,7 +21,14 @@ def read_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """key, from_year, code of a relaxed map text: unquoted years, trailing commas, keys that come twice."""
+    """key, from_year, code of a catalogue: a CSV table of these columns, or a relaxed map text, by the path's end.
+
+    The text may have unquoted years, trailing commas, and keys that come twice.
+    """
+    if path.lower().endswith(".csv"):
+        return spark.read.schema("key string, from_year int, code string").option("header", True).csv(path).withColumn("key", F.lower("key"))
+    if not path.lower().endswith((".json", ".txt")):
+        raise ValueError(f"a catalogue is CSV, JSON or text: {path}")
     whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r'("[^"]+"\s*:\s*\{[^}]*\})'), F.lit(1))).alias("entry"))
     entries = entries.select(F.lower(F.regexp_extract("entry", r'^"([^"]+)"', 1)).alias("key"), F.explode(F.regexp_extract_all("entry", F.lit(r'([0-9]{4}\s*:\s*"[^"]*")'), F.lit(1))).alias("pair"))
