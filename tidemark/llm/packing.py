@@ -69,7 +69,7 @@ class WordIds:
             self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def _learn(self, forms: set[str]) -> None:
-        plain, alone, new = [], set(), set()
+        plain, other, alone, new = [], [], set(), set()
         for form in forms:
             core = form.rstrip(".,")
             # letters below U+0130 are one run for the pre-tokenizer, and lower-casing them is one to one
@@ -79,12 +79,13 @@ class WordIds:
                 new.add(low)
                 alone.add(tail)
             else:
-                alone.add(form)
+                other.append(form)
+        alone.update(other)
         self._encode(list(new.difference(self.words)))
         alone = list(alone.difference(self.words))
         for form, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self.words[form] = np.array(coded.ids, dtype="<u4").tobytes()
-        self.forms.update((form, self.words[form]) for form in forms.intersection(alone))
+        self.forms.update((form, self.words[form]) for form in other)
         self.forms.update((form, self.words[low] + self.words[tail]) for form, low, tail in plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
