@@ -4,7 +4,12 @@ import itertools
 import re
 from re import _parser
 
+import collections
+import zlib
+
+import corpus_pipeline
 import numpy as np
+import public_tokenizers
 
 from tidemark.llm import license_rules, licenses, near_duplicates, quality_rules
 
@@ -102,3 +107,47 @@ def test_license_words_without_their_usual_gate(spark):
     frame = spark.createDataFrame(list(enumerate(named)), "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
     assert [rows[i].labels for i in range(len(named))] == list(named.values()) and all(r.score > 0 for r in rows.values())
+
+
+def test_pipeline_against_plain_code(spark, tmp_path):
+    """Every stage of run() on a small table, by all pairs, exact counts, re and the tokenizer library."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    line = "subscribe to our newsletter and follow us"
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(60)]
+        rows.append((len(rows), f"{line}\n" + " ".join(words), "host"))
+        if i % 4 == 0:
+            words[30] = "changed"
+            rows.append((len(rows), " ".join(words), "other"))
+        if i % 8 == 0:
+            rows.append((len(rows), rows[-1][1], "other"))
+    rows += [(len(rows), "too short", "host"), (len(rows) + 1, None, None), (len(rows) + 2, f"{line}\n{line}\n{line}\n{line}\n{line} " + "a few words", "host")]
+    rows.append((len(rows), " ".join(word() for _ in range(50)) + ' password = "hunter2222" ' + word(), "other"))
+    frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.coalesce(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    held = collections.defaultdict(set)
+    for i, t, s in rows:
+        for x in (t or "").split("\n"):
+            held[s, x].add(" ".join((t or "").split()))
+    of = collections.Counter(s for s, _ in {(s, " ".join((t or "").split())) for _, t, s in rows})
+    common = {k for k, v in held.items() if len(v) > quality_rules.LINE_DOCUMENTS and len(v) > quality_rules.LINE_SHARE * of[k[0]]}
+    texts = {}
+    for i, t, s in rows:
+        left = "\n".join(x for x in (t or "").split("\n") if (s, x) not in common)
+        n = len((t or "").split())
+        if n >= quality_rules.MIN_WORDS and len(left.split()) >= quality_rules.KEEP_SHARE * n:
+            seen = collections.Counter(tuple(t.split()[k : k + 8]) for k in range(n - 7))
+            if 100 * sum(8 for v in seen.values() if v > 1) <= 30 * n:
+                texts[i] = left
+    kept = {i: t for i, t in texts.items() if brute_classes(texts)[i] == i}
+    library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), collections.Counter()
+    for i, t in kept.items():
+        ids = library.encode(re.sub(r'password = "[a-z0-9]+', "[SECRET]", t), add_special_tokens=False).ids + [1]
+        want[i, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert got == want and 40 <= len(kept) < len(texts) < len(rows)

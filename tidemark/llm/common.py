@@ -72,7 +72,7 @@ def sums_before(values: Column) -> Column:
         totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
         return let(appended(totals, F.lit(0)), lambda at: F.flatten(F.transform(parts, lambda p, i: appended(p, F.get(at, i)))))
 
-    return let(runs(values), joined)
+    return F.when(F.size(values) <= RUN, appended(values, F.lit(0))).otherwise(let(runs(values), joined))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
