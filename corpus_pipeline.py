@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicate removal, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
+
+Defined edge cases: a null or empty text fails the quality rules; a null source is a host of its own; a null doc_id is an id
+like others and does not stand for its class; repeated rows are copies, of which one stays; ties between copies go to the
+least doc_id; texts of any length are worked on whole; other columns stay until packing, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
