@@ -117,21 +117,54 @@ def test_chat_format(spark):
         want[c].append((role or "", text or ""))
     assert {c: [tuple(t) for t in r.turns] for c, r in back.items()} == dict(want)
     assert back[1].loss == ["a <b> \\e"] and "".join(back[2].loss) == ""
-    nodes = sorted(tree.collect(), key=lambda n: n.start)
-    assert len(nodes) == 6  # the shared beginnings stand once
-    by = {n.node: n for n in nodes}
-    for a, b in zip(nodes, nodes[1:]):
-        assert a.start + a.length == b.start
-    for n in nodes:
-        up, length = n.parent, 0
-        while up:
-            length += by[up].length
-            assert any(s <= by[up].start and by[up].start + by[up].length <= e for s, e in n.ancestors)
-            up = by[up].parent
-        assert n.position == length == sum(e - s for s, e in n.ancestors)
+    _check_tree(tree, leaves, want)
     assert chat_format.format_chats(frame.where("false"))[0].count() == 0
 
 
+def _check_tree(tree, leaves, want):
+    """Each node once, depth-first; and what a segment may attend to is all that stands before it in its conversations."""
+    rows = sorted(tree.collect(), key=lambda n: n.start)
+    stream = "".join(t.fragment for n in rows for t in n.turns)
+    for a, b in zip(rows, rows[1:]):
+        assert a.start + a.length == b.start
+    assert sum(len(n.turns) for n in rows) == len({tuple(w[: i + 1]) for w in want.values() for i in range(len(w))})
+    by = {bytes(n.leaf): n for n in rows}
+    for conv, leaf in leaves.collect():
+        n = by[bytes(leaf)]
+        assert n.position == sum(e - s for s, e in n.ancestors)
+        turn = lambda t: chat_format.OPEN + _plain(t[0]) + '">' + _plain(t[1]) + chat_format.CLOSE
+        assert "".join(stream[s:e] for s, e in n.ancestors) + stream[n.start : n.start + n.length] == "".join(map(turn, want[conv]))
+
+
+def _plain(text):
+    return text.replace("\\", "\\e").replace("<", "\\l").replace(">", "\\g")
+
+
+def test_chat_format_over_parts(spark):
+    rng = np.random.default_rng(5)
+    turns, want = [], {}
+    for c in range(300):
+        want[c] = [("user" if i % 2 == 0 else "assistant", "ab\\<"[int(x)]) for i, x in enumerate(rng.integers(0, 4 if c % 3 else 2, rng.integers(1, 9)))]
+    want |= {c: [("user", "hot")] for c in range(300, 2600)}  # one conversation in most rows
+    turns = [(c, i, *t) for c, w in want.items() for i, t in enumerate(w)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    tree, leaves = chat_format.format_chats(frame, parts=7)
+    _check_tree(tree, leaves, want)
+    rows = chat_format.read_back(tree, leaves).collect()
+    assert len(rows) == len(want) and all([tuple(t) for t in r.turns] == want[r.conv_id] for r in rows)
+    assert all("".join(r.loss) == "".join(t for role, t in want[r.conv_id] if role == "assistant") for r in rows)
+
+
+def test_chat_format_long(spark):
+    """Two conversations of 20,000 turns that part near the end."""
+    conv, turn = F.col("id") % 2, F.floor(F.col("id") / 2)
+    text = F.concat(F.lit("turn "), F.when((turn > 19_990) & (conv == 1), F.lit("x")).otherwise(turn.cast("string")))
+    rows = spark.range(40_000).select(conv.alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    tree, leaves = chat_format.format_chats(rows, parts=2)
+    assert sorted((r.depth, len(r.turns), len(r.ancestors)) for r in tree.collect()) == [(0, 20_000, 0), (19_991, 9, 1)]
+    assert {r.conv_id: len(r.turns) for r in chat_format.read_back(tree, leaves).collect()} == {0: 20_000, 1: 20_000}
+
+
 def test_quality_rules(spark, docs, none):
     rows = quality_rules.verdicts(docs).collect()
     assert len(rows) == len(TEXTS)
