@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pages, text
-from ..operators import estimates, lookups
+from ..operators import estimates, evidence, lookups
 from .queries import QUERIES, SQL, table
 
 
@@ -166,3 +166,65 @@ def fenced_json(df):
 ])
 def dotted_path(df):
     return df.select("raw", "path", F.expr("get_json_object(raw, path)").alias("found"))
+
+
+_BLOBS = "ask long, model string, generation string, year int, place int, text string, url string"
+
+
+@given(_BLOBS, [
+    (1, "Golf", "mk7", 2013, 0, "Golf mk7 sales in Europe 2013: 450,000 units", "u0"),
+    (1, "Golf", "mk7", 2013, 1, "Worldwide Golf mark 7 deliveries 2013 reached 900,000", "u1"),
+    (1, "Golf", "mk7", 2013, 2, "Golf mk7 monthly sales Europe 2013 460,000", "u2"),
+    (1, "Golf", "mk7", 2013, 3, "Golf sales in Europe 2013: 999,000 units", "u3"),
+    (1, "Golf", "mk7", 2013, 4, "Golf mk7 in Europe 2013: 999,000", "u4"),
+    (2, "Fiat Panda", None, 2012, 0, "Panda registrations uk 2012: 15,000 units", "u0"),
+    (2, "Fiat Panda", None, 2012, 1, "Fiat Panda sold 12,000 in 2012", "u1"),
+    (2, "Fiat Panda", None, 2012, 2, "Fiat Panda sold 12,000 in 2012", "u2"),
+    (3, "Kia Rio", "", 2012, 0, "no figures of sales", None),
+    (4, "Kia Rio", "", 2012, 0, "global shipments of 31 250 000 and 1\t200\t000, uk", None),
+], "ask, region, value, url, is_model_level", [
+    (1, "europe", 450_000, "u0", True), (1, "world", 900_000, "u1", True), (2, "europe", 12_000, "u1", True), (4, "europe", 1_200_000, None, False), (4, "world", 1_200_000, None, False),
+])
+def best_numbers(df):
+    return evidence.best_numbers(df).select("ask", "region", "value", "url", "is_model_level")
+
+
+@given("raw string", [
+    ('{"answer_box": {"a": "10 units", "n": 5, "p": "price 3"}, "knowledge_graph": {"b": "made"}, "search_metadata": {"google_url": "g"}, "organic_results": [{"title": "T", "snippet": "s", "link": "l"}, {"title": "costs $3"}, {"link": "x"}, {"snippet": "only"}]}',),
+    ('{"organic_results": [' + ", ".join('{"title": "t"}' for _ in range(12)) + "]}",), ("no json",),
+], "source, text, url, n", [("answer_box", "10 units", "g", 1), ("knowledge_graph", "made", "g", 1), ("organic", "T\ns", "l", 1), ("organic", "only", "", 1), ("organic", "t", "", 10)])
+def search_blobs(df):
+    rows = df.select(F.explode(evidence.text_blobs(F.col("raw"))).alias("b")).select("b.*")
+    return rows.groupBy("source", "text", "url").agg(F.count("*").alias("n"))
+
+
+@given("model string, generation string, year int", [("Golf", " Mk7", 2013), ("Rio", None, 2012)], "model, place, search", [
+    *[("Golf", i, x) for i, x in enumerate([
+        '"Golf" ("Mk7" OR "7th generation" OR "mark 7" OR "mk 7" OR "mk7") 2013 '.replace('"Mk7" OR "7th generation"', '"7th generation" OR "Mk7"') + x
+        for x in ("sales europe -price -msrp -€ -$", "registrations europe -price -msrp -€ -$", "global sales -price -msrp -€ -$", "worldwide sales -price -msrp -€ -$")
+    ] + ['site:carsalesbase.com "Golf" 2013 sales', 'site:acea.auto "Golf" 2013 registrations', 'site:marklines.com "Golf" 2013 sales'])],
+    *[("Rio", i, x) for i, x in enumerate([
+        '"Rio" 2012 sales europe -price -msrp -€ -$', '"Rio" 2012 registrations europe -price -msrp -€ -$', '"Rio" 2012 global sales -price -msrp -€ -$', '"Rio" 2012 worldwide sales -price -msrp -€ -$',
+        'site:carsalesbase.com "Rio" 2012 sales', 'site:acea.auto "Rio" 2012 registrations', 'site:marklines.com "Rio" 2012 sales',
+    ])],
+])
+def search_queries(df):
+    rows = df.select("model", F.posexplode(evidence.search_queries(F.col("model"), F.col("generation"), F.col("year"))).alias("place", "search"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+@given("prior long, total long", [(12000, 340000), (None, 1500), (0, None), (7, 0)], "prior, total, note", [
+    (12000, 340000, "EU seed may be small vs 10% prior-gen avg 12,000 & 5% model EU 340,000"), (None, 1500, "EU seed may be small vs 5% model EU 1,500"), (0, None, None), (7, 0, "EU seed may be small vs 10% prior-gen avg 7"),
+])
+def plausibility_note(df):
+    return df.withColumn("note", evidence.plausibility(F.col("prior"), F.col("total")))
+
+
+@given("ask long, detected string, year int, start int, `end` int, generation string", [
+    (1, "Mk 7", 2013, 2012, 2019, "VII"), (1, "Mk 7", 2014, 2012, 2019, "VII"), (1, "Mk 7", 2011, 2012, 2019, "VI"),
+    (2, "Mk 7", 2013, 2012, 2019, "mk7"), (2, "Mk 7", 2014, 2012, 2019, "VII"),
+    (3, "x", 2013, 2012, 2019, "A"), (3, "x", 2014, 2012, 2019, "B"), (4, "x", 2013, 2012, 2019, None),
+    *[(5, "x", 2012 + i, 2012, 2022, "B" if i < 7 else "A") for i in range(10)],
+], "ask, alias", [(1, "vii"), (2, None), (3, None), (4, None), (5, "b")])
+def local_alias_rules(df):
+    return evidence.local_alias(df)
