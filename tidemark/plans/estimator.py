@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup, numbers, text
-from ..operators import scoring
+from ..operators import evidence, scoring
 from .queries import WITH, query, sales, table
 
 
@@ -182,9 +182,9 @@ def clean_generation(spark, d):
     return table(spark, d, "part").select("p_partkey", text.clean_generation(raw).alias("label"))
 
 
-@query("select p_partkey, unnest(list_sort(['mk' || n, 'mk ' || n, 'mark ' || n, 'generation ' || n])) as alias from (select p_partkey, p_size % 12 + 1 as n from part)")
+@query("select p_partkey, unnest(list_sort(['Mk ' || n, 'mk' || n, 'mk ' || n, 'mark ' || n, n || 'th generation'])) as alias from (select p_partkey, p_size % 12 + 1 as n from part)")
 def alias_expand(spark, d):
-    return _parts(spark, d).select("p_partkey", F.explode(text.alias_expand(F.col("mk"))).alias("alias"))
+    return _parts(spark, d).select("p_partkey", F.explode(evidence.generation_aliases(F.col("mk"))).alias("alias"))
 
 
 @query("select p_partkey, unnest([p_name || ' sales by year', p_name || ' ' || p_type || ' units sold', 'site:example.org ' || p_name]) as search from part")

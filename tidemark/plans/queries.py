@@ -6,7 +6,7 @@ suppliers for the local region.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, numbers, text
@@ -76,13 +76,28 @@ def pivot_repl(spark, d):
     return cohorts.wide(cohorts.project_stock(sales(spark, d), YEARS), YEARS, F.rint(F.round(F.col("stock") * numbers.REPLACED, 6)), "y")
 
 
+def _figures(units: Column, suffix: str = "") -> list[Column]:
+    """Aggregates of sale years: stock and replacements in the picked year, and the years with sales; null without any."""
+    stock = F.sum(numbers.decay_from_sale(units, PICKED - F.col("year")))
+    named = {"future_stock": F.ceil(F.round(stock, 6)), "future_repl": F.rint(F.round(stock * numbers.REPLACED, 6)), "years_in_list": F.nullif(F.count(units), F.lit(0).cast("long"))}
+    return [v.alias(k + suffix) for k, v in named.items()]
+
+
 def _future(spark, d, local=False) -> DataFrame:
     """model, generation, future_stock, future_repl, years_in_list."""
-    rows = sales(spark, d, local)
-    stock = cohorts.project_stock(rows, range(PICKED, PICKED + 1))
-    stock = stock.select("model", "generation", F.ceil(F.round("stock", 6)).alias("future_stock"), F.rint(F.round(F.col("stock") * numbers.REPLACED, 6)).alias("future_repl"))
-    seen = rows.groupBy("model", "generation").agg(F.count("*").alias("years_in_list"))
-    return stock.join(seen, ["model", "generation"], "left").withColumn("years_in_list", F.coalesce("years_in_list", F.lit(0)))
+    return sales(spark, d, local).groupBy("model", "generation").agg(*_figures(F.col("units")))
+
+
+def _future_of_both(spark, d) -> DataFrame:
+    """model, generation and the figures of the world (_w) and of the local region (_e), from one scan of the sales."""
+    nations = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    local = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey")
+    items = table(spark, d, "lineitem").join(local, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    here = F.when(F.col("s_suppkey").isNotNull(), F.col("l_quantity"))
+    per = items.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("q"), F.sum(here).alias("here"))
+    rows = per.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    years = rows.groupBy(F.col("p_brand").alias("model"), F.col("p_type").alias("generation"), "year").agg(F.sum("q").cast("long").alias("q"), F.sum("here").cast("long").alias("here"))
+    return years.groupBy("model", "generation").agg(*_figures(F.col("q"), "_w"), *_figures(F.col("here"), "_e"))
 
 
 _FUTURE = lambda name, of: f"{name} as (select model, generation, cast(ceil(round(sum(units * pow(1 - 0.0556, 2010 - year)), 6)) as bigint) as future_stock, round_even(round(sum(units * pow(1 - 0.0556, 2010 - year)) * 0.021, 6), 0) as future_repl, count(*) as years_in_list from {of} group by 1, 2)"
@@ -135,7 +150,7 @@ def opportunity_scores(spark, d):
 
 @query(f"{WITH2}, {_COMBINED}, {_score_sql('both_')}")
 def combined_opportunities(spark, d):
-    both = scoring.combine_regions(_future(spark, d), _future(spark, d, True))
+    both = scoring.preferred(_future_of_both(spark, d))
     return scoring.opportunity_scores(_flags(both)).select(*_SHOWN)
 
 
