@@ -38,10 +38,12 @@ INSIDE_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
 #: Text of one language that a shard holds, and of all languages that a task keeps, in bytes.
-SHARD_BYTES, TASK_BYTES = 6 << 20, 24 << 20
+SHARD_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 FILTER_BITS = 27
 #: Positions whose candidates are intersected at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+#: Rows of a batch that leaves a worker.
+ROWS = 1 << 16
 #: No text in UTF-8 holds this byte; it stands for the end of a piece.
 END = 0xFF
 _BYTES = bytes(END if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -121,15 +123,8 @@ def extended(fronts: Bitmaps, ends: Bitmaps, tail: np.ndarray, head: np.ndarray)
     return pair // size, pair % size, times, Bitmaps(byte, owner, bits.astype(np.uint8))
 
 
-def _place(hashes: list[np.ndarray]) -> np.ndarray:
-    """Where a phrase stands in the filter; the same as place()."""
-    out = np.zeros(len(hashes[0]), np.int64)
-    for h in hashes:
-        out = h ^ (out << 13) ^ (out >> 17)
-    return out & ((1 << FILTER_BITS) - 1)
-
-
 def place(hashes: list[Column]) -> Column:
+    """Where a phrase stands in the filter."""
     out = F.lit(0).cast("long")
     for h in hashes:
         out = h.bitwiseXOR(F.shiftleft(out, 13)).bitwiseXOR(F.shiftright(out, 17))
@@ -147,7 +142,11 @@ def frequent_filter(phrases: DataFrame, hashes: list[str]) -> bytes:
 
 
 def _held(bits: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-    at = _place(hashes)
+    """Whether the filter holds each phrase; its place is that of place()."""
+    at = np.zeros(len(hashes[0]), np.int64)
+    for h in hashes:
+        at = h ^ (at << 13) ^ (at >> 17)
+    at &= 8 * len(bits) - 1
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -184,10 +183,8 @@ def shards(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, k: int) -> DataFrame:
-    """h1 .. hk, n of the phrases that reach LEAST; rows: of each shard its phrases' hashes, one array for each word, and their times."""
-    names = [f"h{i}" for i in range(1, k + 1)]
-    each = rows.select(F.explode(F.arrays_zip(*names, "times")).alias("x")).select("x.*")
-    return each.groupBy(*names).agg(F.sum("times").alias("n")).where(F.col("n") >= LEAST)
+    """h1 .. hk, n of the phrases that reach LEAST; rows: h1 .. hk, times of each shard's phrases."""
+    return rows.groupBy(*[f"h{i}" for i in range(1, k + 1)]).agg(F.sum("times").alias("n")).where(F.col("n") >= LEAST)
 
 
 def frequent_pairs(parts: DataFrame, words: bytes) -> DataFrame:
@@ -204,9 +201,9 @@ def frequent_pairs(parts: DataFrame, words: bytes) -> DataFrame:
                 maps = bitmaps(_renumbered(batch.column("at")[k], _held(bits, [hashes])))
                 none = np.zeros(len(hashes), np.int64)
                 front, end, times, _ = extended(maps, maps, none, none)
-                yield _phrases([hashes[front], hashes[end]], times)
+                yield from _phrases([hashes[front], hashes[end]], times, 2)
 
-    return _counted(parts.select("at", "hashes").mapInArrow(run, "h1 array<long>, h2 array<long>, times array<long>"), 2)
+    return _counted(parts.select("at", "hashes").mapInArrow(run, "h1 long, h2 long, times long"), 2)
 
 
 def _renumbered(at: pa.Scalar, kept: np.ndarray) -> np.ndarray:
@@ -215,9 +212,13 @@ def _renumbered(at: pa.Scalar, kept: np.ndarray) -> np.ndarray:
     return np.where(np.append(kept, False)[numbers], numbers, -1)
 
 
-def _phrases(hashes: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
-    names = [f"h{i}" for i in range(1, len(hashes) + 1)] + ["times"]
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in (*hashes, times)], names=names)
+def _phrases(hashes: list[np.ndarray], times: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """h1 .. hk, times; null for words that the phrases do not have."""
+    names = [f"h{i}" for i in range(1, k + 1)] + ["times"]
+    for a in range(0, len(times), ROWS):
+        n = len(times[a : a + ROWS])
+        columns = [pa.array(h[a : a + ROWS]) for h in hashes] + [pa.nulls(n, pa.int64())] * (k - len(hashes))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(times[a : a + ROWS])], names=names)
 
 
 def frequent_longer(parts: DataFrame, words: bytes, pairs: bytes) -> DataFrame:
@@ -238,32 +239,35 @@ def frequent_longer(parts: DataFrame, words: bytes, pairs: bytes) -> DataFrame:
                 some = held[maps.owner]
                 maps = Bitmaps(maps.byte[some], maps.owner[some], maps.bits[some])
                 front, end, times, longer = extended(maps, maps, two, one)
-                yield _longer([hashes[x] for x in (one[front], two[front], two[end])], times)
+                yield from _phrases([hashes[x] for x in (one[front], two[front], two[end])], times, LONGEST)
                 # of four words: two of three, which share a pair
                 a, b, times, _ = extended(longer, longer, end, front)
-                yield _longer([hashes[x] for x in (one[front[a]], two[front[a]], two[end[a]], two[end[b]])], times)
+                yield from _phrases([hashes[x] for x in (one[front[a]], two[front[a]], two[end[a]], two[end[b]])], times, LONGEST)
 
-    rows = parts.select("at", "hashes").mapInArrow(run, "h1 array<long>, h2 array<long>, h3 array<long>, h4 array<long>, times array<long>")
+    rows = parts.select("at", "hashes").mapInArrow(run, "h1 long, h2 long, h3 long, h4 long, times long")
     return _counted(rows, LONGEST)
 
 
-def _longer(hashes: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
-    batch = _phrases(hashes, times)
-    if len(hashes) == LONGEST:
-        return batch
-    none = pa.ListArray.from_arrays(pa.array([0, len(times)], pa.int32()), pa.nulls(len(times), pa.int64()))
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], none, batch.columns[-1]], names=["h1", "h2", "h3", "h4", "times"])
-
-
 def word_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The shards, and lang, word, h, n of every word; no two words share a hash."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                lang = batch.column("lang")[k]
+                columns = [batch.column(c)[k].values for c in ("words", "hashes", "times")]
+                for a in range(0, len(columns[0]), ROWS):
+                    parts = [x.slice(a, ROWS) for x in columns]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(parts[0])), *parts], names=["lang", "word", "h", "times"])
+
     seed = 0
     while True:
         parts = written(shards(docs, seed), "shards")
-        each = parts.select("lang", F.explode(F.arrays_zip("words", "hashes", "times")).alias("x")).select("lang", "x.*")
-        words = written(each.groupBy("lang", "words").agg(F.first("hashes").alias("h"), F.sum("times").alias("n")), "words")
+        each = parts.select("lang", "words", "hashes", "times").mapInArrow(rows, "lang string, word binary, h long, times long")
+        # a word's hash is one, so grouping by it too changes nothing and keeps it out of the aggregates
+        words = written(each.groupBy("lang", "word", "h").agg(F.sum("times").alias("n")), "words")
         if not words.groupBy("h").count().where("count > 1").limit(1).count():
-            return parts, words.withColumnRenamed("words", "word")
+            return parts, words
         seed += 1
 
 
@@ -309,3 +313,41 @@ def mined(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+#: The same with every phrase spelled out.
+OP12_SQL = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from piece
+), gram as (
+  select lang, 1 as k, unnest(w) as p from words
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from words
+  union all select lang, 4, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) from words
+), f as (
+  select lang, k, p, count(*) as n from gram group by lang, k, p having k = 1 or count(*) >= 30
+), total as (
+  select lang, sum(n)::bigint as n from f where k = 1 group by lang
+), candidate as (
+  select lang, k, p, n as a, string_split(p, ' ') as w from f where k > 1 and n >= 30
+), cuts as (
+  select lang, p, a, j, array_to_string(w[1:j], ' ') as front, array_to_string(w[j + 1:], ' ') as back
+  from (select *, unnest(range(1, k)) as j from candidate)
+), cut as (
+  select c.lang, c.p, a, j, x.n as l, y.n as r, ((2000000::hugeint * a) // (x.n + y.n))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.p = c.front join f y on y.lang = c.lang and y.p = c.back
+), best as (
+  select lang, p, a, l, r, score from cut qualify row_number() over (partition by lang, p order by score, j) = 1
+), inside as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as p, max(a) as longer
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from candidate)) group by 1, 2
+), kept as (
+  select lang, p as phrase, a, l, r, score from best left join inside using (lang, p) where longer is null or 100 * longer < 80 * a
+)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join total using (lang)
+where rank <= 2000
+"""
