@@ -38,8 +38,8 @@ INSIDE_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
 #: Text of one language that a shard holds, and of all languages that a task keeps, in bytes.
-SHARD_BYTES, TASK_BYTES = 4 << 20, 16 << 20
-FILTER_BITS = 27
+SHARD_BYTES, TASK_BYTES = 2 << 20, 8 << 20
+FILTER_BITS = 26
 #: Positions whose candidates are intersected at once.
 CHUNK = 1 << 16
 #: Rows of a batch that leaves a worker.
@@ -78,13 +78,13 @@ def bitmaps(at: np.ndarray) -> Bitmaps:
     """One bitmap for each number found in at; -1 is none."""
     places = np.flatnonzero(at >= 0)
     if not len(places):
-        return Bitmaps(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        return Bitmaps(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))
     key = (places >> 3) << 32 | at[places]
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     bits = np.bitwise_or.reduceat((1 << (places[order] & 7)).astype(np.uint8), starts)
-    return Bitmaps(key[starts] >> 32, key[starts] & 0xFFFFFFFF, bits)
+    return Bitmaps((key[starts] >> 32).astype(np.int32), (key[starts] & 0xFFFFFFFF).astype(np.int32), bits)
 
 
 def shifted(maps: Bitmaps) -> Bitmaps:
@@ -101,10 +101,10 @@ def extended(fronts: Bitmaps, ends: Bitmaps, tail: np.ndarray, head: np.ndarray)
     """
     ends = shifted(ends)
     wide = int(max(tail.max(initial=0), head.max(initial=0))) + 1
-    key = (ends.byte + 1) * wide + head[ends.owner]  # a byte may be -1
+    key = (ends.byte.astype(np.int64) + 1) * wide + head[ends.owner]  # a byte may be -1
     order = np.argsort(key, kind="stable")
     key, end_owner, end_bits = key[order], ends.owner[order], ends.bits[order]
-    asked = (fronts.byte + 1) * wide + tail[fronts.owner]
+    asked = (fronts.byte.astype(np.int64) + 1) * wide + tail[fronts.owner]
     low = np.searchsorted(key, asked, "left")
     many = np.searchsorted(key, asked, "right") - low
     found = []
@@ -117,10 +117,11 @@ def extended(fronts: Bitmaps, ends: Bitmaps, tail: np.ndarray, head: np.ndarray)
         front = front[some]
         found.append((fronts.byte[front], fronts.owner[front], end_owner[end[some]], both[some]))
     byte, front, end, bits = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((),) * 4))
+    front = front.astype(np.int64)
     size = int(end.max(initial=0)) + 1
     pair, owner = np.unique(front * size + end, return_inverse=True)
     times = np.bincount(owner, np.bitwise_count(bits.astype(np.uint8)), len(pair)).astype(np.int64)
-    return pair // size, pair % size, times, Bitmaps(byte, owner, bits.astype(np.uint8))
+    return pair // size, pair % size, times, Bitmaps(byte, owner.astype(np.int32), bits.astype(np.uint8))
 
 
 def place(hashes: list[Column]) -> Column:
@@ -221,21 +222,21 @@ def _phrases(hashes: list[np.ndarray], times: np.ndarray, k: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*columns, pa.array(times[a : a + ROWS])], names=names)
 
 
-def frequent_longer(parts: DataFrame, words: bytes, pairs: bytes) -> DataFrame:
-    """h1, h2, h3, h4 (null for phrases of three words), n of the frequent phrases of three and four words."""
-    kept = parts.sparkSession.sparkContext.broadcast((words, pairs))
+def frequent_longer(parts: DataFrame, pairs: bytes) -> DataFrame:
+    """h1, h2, h3, h4 (null for phrases of three words), n of the frequent phrases of three and four words; pairs: the filter of the frequent pairs."""
+    kept = parts.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, pair_bits = (np.frombuffer(x, np.uint8) for x in kept.value)
+        bits = np.frombuffer(kept.value, np.uint8)
         for batch in batches:
             for k in range(len(batch)):
                 hashes = batch.column("hashes")[k].values.to_numpy()
                 if not len(hashes):
                     continue
-                maps = bitmaps(_renumbered(batch.column("at")[k], _held(word_bits, [hashes])))
+                maps = bitmaps(np.frombuffer(batch.column("at")[k].as_buffer(), np.int32))
                 none = np.zeros(len(hashes), np.int64)
                 one, two, _, maps = extended(maps, maps, none, none)
-                held = _held(pair_bits, [hashes[one], hashes[two]])
+                held = _held(bits, [hashes[one], hashes[two]])
                 some = held[maps.owner]
                 maps = Bitmaps(maps.byte[some], maps.owner[some], maps.bits[some])
                 front, end, times, longer = extended(maps, maps, two, one)
@@ -275,10 +276,8 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """hashes (one for each word), n of every phrase of one to LONGEST words that reaches LEAST, and lang, word, h, n of every word."""
     parts, words = word_table(docs)
     often = words.where(F.col("n") >= LEAST)
-    filters = [frequent_filter(often, ["h"])]
-    pairs = written(frequent_pairs(parts, filters[0]), "pairs")
-    filters.append(frequent_filter(pairs, ["h1", "h2"]))
-    longer = frequent_longer(parts, *filters)
+    pairs = written(frequent_pairs(parts, frequent_filter(often, ["h"])), "pairs")
+    longer = frequent_longer(parts, frequent_filter(pairs, ["h1", "h2"]))
     out = often.select(F.array("h").alias("hashes"), "n").unionByName(pairs.select(F.array("h1", "h2").alias("hashes"), "n"))
     out = out.unionByName(longer.select(F.array_compact(F.array("h1", "h2", "h3", "h4")).alias("hashes"), "n"))
     return written(out, "phrases"), words
