@@ -9,22 +9,59 @@ from pyspark.sql import functions as F
 
 from tidemark import sinks
 from tidemark.functions import text
-from tidemark.operators import lookups
+from tidemark.operators import detection, documents, enforcement, lookups, regions, support
 from tidemark.sources import sales_lists
+from tidemark.storage import VersionedTable
+
+
+LISTS = {
+    "Top100_2015.txt": [{"model": "Golf", "generation": "Mk7", "units_sold": 10}, {"name": "Polo", "units_sold": None, "projected_units_2025": 4}, {"model": "", "name": "UP!", "units_sold": 5}, 7, {"model": "GOLF", "units_sold": 12}, {"model": "golf", "units_sold": 12.5}],
+    "Top100_2025.txt": [{"rank": 1, "model": "Golf", "generation": "VIII", "projected_units_2025": 7, "estimated": True}],
+    "Top100_World_2019.txt": [{"model": "Golf", "generation": "Mk7", "units_sold": 30, "estimated": False, "notes": "x"}],
+    "Top100_World_2020.txt": None, "Top100_notes.txt": [], "Top100_2016.txt": {"model": "no list"},
+}
+
+
+def write_lists(folder, names=None):
+    for name in names or LISTS:
+        (folder / name).write_text("[{ not json" if LISTS[name] is None else json.dumps(LISTS[name]))
 
 
 def test_lists_of_several_shapes(spark, tmp_path):
-    (tmp_path / "Top100_2015.txt").write_text(json.dumps([{"model": "Golf", "generation": "Mk7", "units_sold": 10}, {"name": "Polo", "units_sold": None}]))
-    (tmp_path / "Top100_2025.txt").write_text(json.dumps([{"rank": 1, "model": "Golf", "generation": "VIII", "projected_units_2025": 7, "estimated": True}]))
-    (tmp_path / "Top100_World_2019.txt").write_text(json.dumps([{"model": "Golf", "generation": "Mk7", "units_sold": 30, "estimated": False, "notes": "x"}]))
-    (tmp_path / "Top100_World_2020.txt").write_text("[{ not json")
-    (tmp_path / "Top100_notes.txt").write_text("[]")
-    rows = sales_lists.read_lists(spark, f"{tmp_path}/Top100_*.txt").drop("pos").collect()
-    assert sorted(map(tuple, rows), key=str) == sorted([("Golf", "Mk7", 10, 2015, "EU"), ("Polo", "I", None, 2015, "EU"), ("Golf", "VIII", 7, 2025, "EU"), ("Golf", "Mk7", 30, 2019, "World")], key=str)
+    write_lists(tmp_path)
+    rows = sales_lists.read_lists(spark, str(tmp_path)).drop("file").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([
+        (0, "EU", 2015, "Golf", "Mk7", 10, False), (1, "EU", 2015, "Polo", None, None, False), (2, "EU", 2015, "UP!", None, 5, False), (4, "EU", 2015, "GOLF", None, 12, False), (5, "EU", 2015, "golf", None, None, False),
+        (0, "EU", 2025, "Golf", "VIII", 7, True), (0, "World", 2019, "Golf", "Mk7", 30, False),
+    ], key=str)
+
+
+def test_only_the_files_asked_for_are_read(spark, tmp_path):
+    write_lists(tmp_path)
+    names = lambda rows: sorted(f.rsplit("/", 1)[1] for f in rows.inputFiles())
+    assert names(sales_lists.read_lists(spark, str(tmp_path), ("EU",), range(2015, 2016))) == ["Top100_2015.txt"]
+    assert names(sales_lists.read_lists(spark, str(tmp_path), ("World",))) == ["Top100_World_2019.txt", "Top100_World_2020.txt"]
+    assert [(f.region, f.year) for f in sales_lists.list_files(spark, str(tmp_path))] == [("EU", 2015), ("EU", 2016), ("EU", 2025), ("World", 2019), ("World", 2020)]
+    assert sales_lists.read_lists(spark, str(tmp_path), years=range(1990, 1995)).count() == 0
+    with pytest.raises(ValueError):
+        sales_lists.require_sales(sales_lists.read_lists(spark, f"{tmp_path}/none"))
+    assert sales_lists.require_sales(sales_lists.read_lists(spark, str(tmp_path), ("World",))).count() == 1
+
+
+def test_the_last_record_of_a_key(spark, tmp_path):
+    write_lists(tmp_path)
+    (tmp_path / "Top100_2015_b.txt").write_text(json.dumps([{"model": "Golf/", "generation": "last", "units_sold": 99}, {"model": "Polo", "units_sold": "9"}]))
+    want = {("EU", "golf", 2015, "Golf/", 99), ("EU", "up", 2015, "UP!", 5), ("EU", "golf", 2025, "Golf", 7), ("World", "golf", 2019, "Golf", 30)}
+    rows = sales_lists.read_lists(spark, str(tmp_path))
+    for mixed in (rows, rows.repartition(7), rows.orderBy(F.desc("record")), rows.union(rows).orderBy(F.rand(3)), rows.coalesce(1)):
+        got = sales_lists.keyed_history(mixed).select("region", "key", "year", "model", "units").collect()
+        assert len(got) == 4 and {tuple(r) for r in got} == want
+    tidy = sales_lists.sales_rows(rows).where("year = 2015").groupBy("model", "generation").agg(F.sum("units").alias("units"), F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in tidy} == {("Golf", "VII", 10, 1), ("Golf", "I", 12, 2), ("Polo", "I", 0, 2), ("Up!", "I", 5, 1), ("Golf", "last", 99, 1)}
 
 
 def test_catalogues(spark, tmp_path):
-    (tmp_path / "models.txt").write_text('{\n "Audi A3": {2004: "G1", 2018: "C8",},\n "Audi A3": {2020: "C9"},\n "Kia Rio" : { 2011 : "K" },\n}')
+    (tmp_path / "models.txt").write_text('{\n "Audi A3": {2004: "G1", 2018: "C8",},\n "Audi A3": {2020: "C9"},\n "Kia Rio" : { 2011 : "J", 2011 : "K" },\n}')
     (tmp_path / "models.csv").write_text("key,from_year,code\nAudi A3,2004,G1\n")
     rows = lambda p: sorted(map(tuple, sales_lists.read_catalogue(spark, str(tmp_path / p)).collect()))
     assert rows("models.txt") == [("audi a3", 2004, "G1"), ("audi a3", 2018, "C8"), ("audi a3", 2020, "C9"), ("kia rio", 2011, "K")]
@@ -79,3 +116,118 @@ def test_candidate_numbers_against_a_loop(spark):
     for r in rows:
         found = [int(re.sub("[,. ]", "", x)) for x in re.findall(r"(?<![A-Z0-9])([0-9]{1,3}(?:[., ][0-9]{3})+|[0-9]{4,})(?![A-Z0-9])", r.t or "")]
         assert (r.n or []) == [n for n in found if 10 <= n <= 5_000_000]
+
+
+def test_versions_of_a_cache(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    cache = VersionedTable(spark, path, "key long, value long")
+    asked, calls = spark.range(10).withColumnRenamed("id", "key"), []
+
+    def compute(missing):
+        calls.append(sorted(r.key for r in missing.collect()))
+        return missing.select("key", (F.col("key") * len(calls)).alias("value"))
+
+    assert cache.read().count() == 0
+    assert cache.refresh(asked.where("key < 4").union(asked.where("key < 4")), "key", compute) == 4
+    assert cache.refresh(asked.where("key < 4"), "key", compute) == 0 and calls == [[0, 1, 2, 3]]
+    # a run that stops after its rows are written and before the pointer moves
+    lost = cache.write_rows(spark.createDataFrame([(100, 100)], "key long, value long"))
+    again = VersionedTable(spark, path, "key long, value long")
+    assert lost not in again.parts() and sorted(r.key for r in again.read().collect()) == [0, 1, 2, 3]
+    before = again.read()
+    assert again.refresh(asked, "key", compute) == 6 and calls[1] == [4, 5, 6, 7, 8, 9]
+    assert before.count() == 4 and len(again.parts()) == 2  # who read the old version still has it
+    assert {r.key: r.value for r in cache.read().collect()} == {k: k * (1 if k < 4 else 2) for k in range(10)}
+    assert cache.refresh(asked, "key", compute) == 0 and len(calls) == 2
+
+
+def test_build_loses_no_document(spark, tmp_path):
+    window = '{"label": "Mk 2", "start": "2004", "end": "9999"}'
+    bodies = [f'{{"model": "a", "windows": [{window}, {window}]}}', '{"model": "a", "windows": [{"label": null, "start": 1990, "end": 1999}]}', "{", None, '{"windows": [' + window + "]}", '{"model": "b"}', '{"model": "c", "windows": [{"start": "x"}]}', "3"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "key int, body string")
+    good, bad = documents.write_build(docs, f"{tmp_path}/build")
+    assert {r.key: [tuple(g) for g in r.generations] for r in good.collect()} == {0: [("Mk2", 2004, None)], 1: [("GEN", 1990, 1999)]}
+    assert {r.key: r.problem for r in bad.collect()} == {2: "no json", 3: "no document", 4: "no model", 5: "no windows", 6: "empty generations", 7: "no model"}
+    assert [(r.model, r.generations[0].name) for r in documents.last_built(good).collect()] == [("a", "GEN")]
+
+
+def test_workbook(spark, tmp_path):
+    sales = [("EU", "Golf", "VII", 2015, 100), ("EU", "Golf", "VII", 2016, 50), ("World", "Golf", "VII", 2015, 300), ("World", "Rio", "I", 2016, 10), ("EU", "Up", "I", 2015, 5)]
+    rows = spark.createDataFrame(sales, "region string, model string, generation string, year int, units long")
+    tables = regions.workbook(rows, range(2016, 2018), 2017, F.col("model") == "Golf", F.lit(False))
+    assert list(tables) == ["Lists", "EU Fleet", "EU Replacements", "World Fleet", "World Replacements", "EU Opportunities", "World Opportunities", "Combined Opportunities"]
+    sinks.write_tables(tables, str(tmp_path))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert {(r.model, r["2016"], r["2017"]) for r in read("EU_Fleet").collect()} == {("Golf", 145, 137), ("Up", 5, 5)}
+    both = read("Combined_Opportunities")
+    assert both.columns == list(regions.OPPORTUNITY)
+    assert {(r.model, r.future_stock, r.years_in_list, r.years_score) for r in both.collect()} == {("Golf", 268, 2, 20.0), ("Rio", 10, 1, 10.0), ("Up", 5, None, None)}
+
+
+def smoothed(rows, cap):
+    """The rule as a plain loop: year, world, europe, zero."""
+    out = []
+    for c in (1, 2):
+        last = [max(0, rows[0][c])]
+        for i in range(1, len(rows)):
+            since = rows[i][0] - rows[0][0]
+            growth = 0.35 if since == 1 else 0.12 if since <= 3 else 0.05 if since <= 5 else -0.08
+            last.append(0 if rows[i][3] else int(max(0, 0.6 * round(last[-1] * (1 + growth)) + 0.4 * rows[i][c])))
+        out.append(last)
+    world = [min(max(0, w), cap) for w in out[0]]
+    return [(r[0], w, min(max(0, e), w)) for r, w, e in zip(rows, world, out[1])]
+
+
+def test_smoothing_against_a_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    models = {f"m{k}": [(2010 + i, rng.randrange(-5, 5000), rng.randrange(-5, 5000), rng.random() < 0.2 and i > 0) for i in sorted(rng.sample(range(12), rng.randrange(1, 12)))] for k in range(40)}
+    rows = [(m, *r) for m, rs in models.items() for r in rs]
+    got = enforcement.smooth_pair(spark.createDataFrame(rows, "model string, year int, world long, europe long, zero boolean").repartition(5), 3000)
+    assert {(r.model, r.year, r.world, r.europe) for r in got.collect()} == {(m, *r) for m, rs in models.items() for r in smoothed(rs, 3000)}
+
+
+def test_enforcement_of_each_kind(spark):
+    estimates = [("a", 2020, 500, 400, "guess"), ("a", 2022, 90, 9, None), ("b", 2021, 10, 20, None), ("c", 2019, 7, 3, "early"), ("d", 2020, 1, 1, "no window")]
+    windows = [("a", 2020, 2020, 2022), ("b", 2020, 2025, 2030), ("c", 2021, 2015, 2021)]
+    limits = [("a", "world", "range", 2020, 600, 700, 1), ("b", "europe", "exact", 2020, 50, 50, 2), ("b", "europe", "exact", 2020, 60, 60, 1), ("b", "world", "exact", 2020, 40, 40, 1), ("b", "world", "range", 2020, 900, 900, 1)]
+    made = enforcement.enforce(
+        spark.createDataFrame(estimates, "model string, year int, world long, europe long, rationale string"), spark.createDataFrame(windows, "model string, start int, first int, final int"),
+        spark.createDataFrame(limits, "model string, region string, kind string, year int, low long, high long, precedence int"), last=2023,
+    )
+    zero = "Outside generation window -> zero."
+    assert sorted(tuple(r) for r in made.drop("zero").collect()) == [
+        ("a", 2020, 600, 400, "guess"), ("a", 2021, 0, 0, "Filled by client."), ("a", 2022, 90, 9, ""), ("a", 2023, 0, 0, "Filled by client. " + zero),
+        ("b", 2020, 60, 60, "Europe start fixed. World start fixed."), ("b", 2021, 0, 0, zero), ("b", 2022, 0, 0, "Filled by client. " + zero), ("b", 2023, 0, 0, "Filled by client. " + zero),
+        ("c", 2019, 7, 3, "early"), ("c", 2021, 0, 0, ""), ("c", 2022, 0, 0, "Filled by client. " + zero), ("c", 2023, 0, 0, "Filled by client. " + zero), ("d", 2020, 1, 1, "no window"),
+    ]
+
+
+def test_support_by_both_joins(spark):
+    known = spark.createDataFrame([("golf", 2004, "MK 5"), ("golf", 2012, "VII"), ("golf", 2012, "A")], "key string, from_year int, code string")
+    asked = spark.createDataFrame([("golf", "mk5", 2004), ("golf", "x", 2011), ("golf", "vii", 2020), ("golf", "mk5", 2003), ("rio", "I", 2020), ("golf", None, 2020)], "key string, generation string, year int")
+    for sent in (100, 0):
+        got = [(r.year, r.supported, r.match_type, r.code, r.from_year) for r in support.support(asked, known, sent).collect()]
+        assert sorted(got, key=str) == sorted([
+            (2004, True, "by_year_exact_gen", "MK 5", 2004), (2011, True, "by_year_diff_gen_label", "MK 5", 2004), (2020, True, "by_year_exact_gen", "VII", 2012), (2003, False, "model_present_no_year_coverage", None, None),
+            (2020, False, "no_model_match", None, None), (2020, True, "by_year_diff_gen_label", "VII", 2012),
+        ], key=str)
+    one = spark.createDataFrame([("golf",)], "key string")
+    assert support.support_by_table(one, None).first()["match_type"] == "no_catalog"
+    assert support.support_by_table(one, known.drop("key")).first()["match_type"] == "no_model_column"
+
+
+def test_sources_after_one_another(spark):
+    asked, seen = spark.range(6).withColumnRenamed("id", "k"), {}
+
+    def source(name, keys):
+        def ask(left):
+            seen[name] = sorted(r.k for r in left.collect())
+            return left.where(F.col("k").isin(keys)).select("k", F.lit(name).alias("answer"))
+
+        return name, ask
+
+    got = detection.cascade(asked, "k", [source("a", [0, 1]), source("b", [1, 2]), source("c", [0])]).collect()
+    assert {r.k: (r.source, r.answer) for r in got} == {0: ("a", "a"), 1: ("a", "a"), 2: ("b", "b"), 3: (None, None), 4: (None, None), 5: (None, None)}
+    assert len(got) == 6 and seen == {"a": [0, 1, 2, 3, 4, 5], "b": [2, 3, 4, 5], "c": [3, 4, 5]}

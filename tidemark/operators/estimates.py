@@ -37,7 +37,7 @@ def share_priors(variant: Column) -> Column:
 
 
 def share_band(rank: Column, presence: Column) -> Column:
-    """struct<low, high>: Europe's share of the world by the model's rank in Europe, else by its years on the list."""
+    """struct<low, high>: Europe's share of the world by the model's rank in Europe, else by its years on the list (fixed values)."""
     band = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
     ranked = F.when(rank <= 10, band(0.25, 0.85)).when(rank <= 30, band(0.15, 0.65)).when(rank <= 60, band(0.08, 0.50)).otherwise(band(0.03, 0.35))
     present = F.when(presence >= 5, band(0.08, 0.60)).when(presence >= 1, band(0.04, 0.40)).otherwise(band(0.01, 0.25))

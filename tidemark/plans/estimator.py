@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, numbers, text
 from ..operators import evidence, scoring
+from ..storage import stored
 from .queries import WITH, query, sales, table
 
 
@@ -129,19 +130,6 @@ def join_left_estimates(spark, d):
     return world.join(europe, "year", "left")
 
 
-@query(f"{WITH}, w as (select model, year, sum(units) as w from sales group by 1, 2), e as (select model, year, sum(units) as e from local_sales group by 1, 2), g as (select model, y as year from (select distinct model from sales) m, range(1994, 2003) t(y)) select g.model, g.year, cast(case when g.year not between 1996 and 2000 then 0 else least(greatest(coalesce(w, 0), 100), 900) end as bigint) as world, cast(case when g.year not between 1996 and 2000 then 0 else least(coalesce(e, 0), least(greatest(coalesce(w, 0), 100), 900)) end as bigint) as europe from g left join w on g.model = w.model and g.year = w.year left join e on g.model = e.model and g.year = e.year")
-def enforce_constraints(spark, d):
-    """Years filled, world held within a band, Europe within world, and nothing outside the window."""
-    rows = sales(spark, d)
-    years = rows.select("model").distinct().select("model", F.explode(F.expr("sequence(1994L, 2002L)")).alias("year"))
-    world = rows.groupBy("model", "year").agg(F.sum("units").alias("w"))
-    europe = sales(spark, d, True).groupBy("model", "year").agg(F.sum("units").alias("e"))
-    out = years.join(world, ["model", "year"], "left").join(europe, ["model", "year"], "left")
-    inside = F.col("year").between(1996, 2000)
-    held = numbers.clamp(F.coalesce("w", F.lit(0)), F.lit(100), F.lit(900))
-    return out.select("model", "year", F.when(inside, held).otherwise(0).cast("long").alias("world"), F.when(inside, F.least(F.coalesce("e", F.lit(0)), held)).otherwise(0).cast("long").alias("europe"))
-
-
 _STOPS = "select o_custkey, min(year(o_orderdate)) as s, max(case when o_orderstatus = 'F' then year(o_orderdate) end) as stop from orders group by 1"
 
 
@@ -255,6 +243,7 @@ def sort_nulls_last(spark, d):
     at = F.when(F.col("o_totalprice") >= 50000, F.col("o_orderdate"))
     order = [F.asc_nulls_last("at"), F.col("o_orderkey")]
     rows = table(spark, d, "orders").select("o_orderkey", at.alias("at")).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "ranges")  # both branches below must see the same parts
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part")

@@ -319,9 +319,9 @@ def brand_split(spark, d):
     return table(spark, d, "part").select("p_partkey", brand.alias("brand"), base.alias("base"))
 
 
-@query("select page_id, case when x = '' then 'untitled' else x end as slug from (select page_id, substr(regexp_replace(trim(regexp_replace(regexp_replace(trim(url), '[/\\\\]', '-', 'g'), '[^A-Za-z0-9 ._-]', '', 'g')), '\\s+', '_', 'g'), 1, 80) as x from pages)")
+@query("select page_id, case when x = '' then 'untitled' else x end as slug from (select page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(url || '/_', '[/\\\\]', '-', 'g'), '[^A-Za-z0-9 ._-]', '', 'g') || ' ', '\\s+', '_', 'g'), '_'), 1, 80) as x from pages)")
 def safe_slug(spark, d):
-    return table(spark, d, "pages").select("page_id", text.safe_slug(F.col("url")).alias("slug"))
+    return table(spark, d, "pages").select("page_id", text.safe_slug(F.concat("url", F.lit("/_ "))).alias("slug"))
 
 
 @query("select doc_id, regexp_matches(lower(text), 'license|copyright|token') as hit, contains(text, '@') as has_at from documents")
