@@ -63,13 +63,13 @@ def dotted_path(spark, d):
   x as (select ask, place, c, case when c = 1 then case when v >= 1000 then v end when v >= 1000 then greatest(v, 2013) else 2013 end as value from o where c <> 3),
   m as (select ask, place, c, value, region, case c when 0 then 11 when 1 then case when region = 'world' then 7 else 4 end when 2 then 6 else -3 end + case when region = 'europe' and value < 20000 and c <> 4 then -6 else 0 end as marks
     from x, (values ('europe'), ('world')) t(region) where value is not null and (region = 'europe' or c = 1))
-  select ask, region, value, 'u' || place as url, c in (0, 1) as is_model_level from m qualify row_number() over (partition by ask, region order by marks * 10 + log10(value + 1) desc, place) = 1""")
+  select ask, region, value, 'u' || place % 1000 as url, c in (0, 1) as is_model_level from m qualify row_number() over (partition by ask, region order by marks * 10 + log10(value + 1) desc, place) = 1""")
 def best_numbers(spark, d):
     """The best figure of each customer's orders, each order a text from a search."""
     o = F.col("o_orderkey")
     v = F.format_number(F.floor(F.col("o_totalprice") / 4), 0)
     said = _pick(o, _s("Golf mk7 sales in Europe 2013: ", v, " units"), _s("Worldwide Golf mark 7 deliveries reached ", v), _s("Golf mk7 monthly sales Europe 2013: ", v), _s("Golf mk7 in Europe 2013: ", v), _s("Fiat mk7 registrations uk 2013: ", v, " units"))
-    blobs = table(spark, d, "orders").select(F.col("o_custkey").alias("ask"), F.lit("Golf").alias("model"), F.lit("mk7").alias("generation"), F.lit(2013).alias("year"), o.alias("place"), said.alias("text"), _s("u", o).alias("url"))
+    blobs = table(spark, d, "orders").select(F.col("o_custkey").alias("ask"), F.lit("Golf").alias("model"), F.lit("mk7").alias("generation"), F.lit(2013).alias("year"), o.alias("place"), said.alias("text"), _s("u", o % 1000).alias("url"))
     return evidence.best_numbers(blobs).select("ask", "region", "value", "url", "is_model_level")
 
 
