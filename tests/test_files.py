@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sinks
 from tidemark.functions import text
-from tidemark.operators import detection, documents, enforcement, lookups, regions, support
+from tidemark.operators import detection, documents, enforcement, lookups, publish, regions, support
 from tidemark.sources import sales_lists
 from tidemark.storage import VersionedTable
 
@@ -89,7 +89,8 @@ def test_generations_are_merged(spark, tmp_path):
     schema = "model string, parent_model string, generations array<struct<name:string,start_year:int,end_year:int>>"
     old = sinks.read_generations(spark, f"{tmp_path}/none")
     assert old.count() == 0
-    sinks.upsert_generations(old, spark.createDataFrame([("a", "p", [("I", 1990, 1999)]), ("b", None, [])], schema), f"{tmp_path}/one")
+    sinks.upsert_generations(old, spark.createDataFrame([("a", "p", [("I", 1990, 1999)]), ("b", None, [])], schema), f"{tmp_path}/one", today="2025-03-04")
+    assert [(r.version, r.updated_at) for r in spark.read.json(f"{tmp_path}/one/meta").collect()] == [(1, "2025-03-04")]
     old = sinks.read_generations(spark, f"{tmp_path}/one")
     sinks.upsert_generations(old, spark.createDataFrame([("a", None, [("II", 2000, None)]), ("c", None, None)], schema), f"{tmp_path}/two")
     rows = {r.model: [tuple(g) for g in r.generations or []] for r in sinks.read_generations(spark, f"{tmp_path}/two").collect()}
@@ -231,3 +232,40 @@ def test_sources_after_one_another(spark):
     got = detection.cascade(asked, "k", [source("a", [0, 1]), source("b", [1, 2]), source("c", [0])]).collect()
     assert {r.k: (r.source, r.answer) for r in got} == {0: ("a", "a"), 1: ("a", "a"), 2: ("b", "b"), 3: (None, None), 4: (None, None), 5: (None, None)}
     assert len(got) == 6 and seen == {"a": [0, 1, 2, 3, 4, 5], "b": [2, 3, 4, 5], "c": [3, 4, 5]}
+
+
+def test_tables_by_name(spark, tmp_path):
+    rows = spark.range(3)
+    sinks.write_tables({"2016 EU": rows, "2015 EU": rows, "2015 World": rows, "EU Fleet": rows, "1999 EU": rows}, str(tmp_path))
+    assert publish.table_names(spark, str(tmp_path)) == ["1999_EU", "2015_EU", "2015_World", "2016_EU", "EU_Fleet"] and publish.table_names(spark, f"{tmp_path}/none") == []
+    assert publish.year_tables(spark, str(tmp_path), "EU") == ["2015_EU", "2016_EU"]
+    assert publish.read_table(spark, str(tmp_path), "2015 World").count() == 3 and publish.read_table(spark, str(tmp_path), "2014 EU") is None
+
+
+def test_what_can_be_asked_for():
+    assert publish.year_span("2015-2017") == range(2015, 2018) and publish.year_span(" 2020 ") == range(2020, 2021)
+    assert publish.request(" Golf ", "", "2019") == ("Golf", "", 2019)
+    for year in (1989, "2036"):
+        with pytest.raises(ValueError):
+            publish.request("Golf", "", year)
+
+
+def test_preview_of_few_rows(spark):
+    rows = spark.createDataFrame([(2021, 5, 123456789), (2020, 10, 3)], "year int, world long, europe long")
+    lines = [r.line for r in publish.preview(rows, {"Year": "year", "World": "world", "Europe": "europe"}, [F.col("year")]).orderBy("place").collect()]
+    assert lines == ["|   Year |   World |    Europe |", "|--------|---------|-----------|", "|   2020 |      10 |         3 |", "|   2021 |       5 | 123456789 |"]
+    none = publish.preview(rows.where("false"), {"Year": "year"}, [F.col("year")]).collect()
+    assert [r.line for r in none] == ["|   Year |", "|--------|"]
+
+
+def test_languages_in_order(spark):
+    rows = [("a", "fr", 1), ("a", "de", 2), ("a", "en", 1), ("b", "pt", 1), ("b", "it", 1), ("c", "xx", 5), ("d", "en", 0)]
+    got = lookups.preferred_language(spark.createDataFrame(rows, "model string, lang string, windows int")).collect()
+    assert {tuple(r) for r in got} == {("a", "de", 2), ("b", "it", 1), ("c", "xx", 5)}
+
+
+def test_keys_through_the_sources(spark):
+    names = spark.createDataFrame([("Golf", "golf"), ("Rio", "rio"), ("Panda", "pandaa"), ("Qq", "qqqqqqq")], "name string, key string")
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "key string")
+    got = lookups.find_keys(names, {"EU": keys("golf", "panda"), "World": keys("golf", "rio")}).collect()
+    assert {tuple(r) for r in got} == {("Golf", "golf", "EU"), ("Rio", "rio", "World"), ("Panda", "panda", "similar"), ("Qq", None, None)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, parent_candidate
+from ..functions.text import normalize_generation_key, normalize_name, parent_candidate
 from .lookups import best_match
 
 #: The world total of a model that no estimate passes.
@@ -103,3 +103,29 @@ def continued_end(windows: DataFrame, blobs: DataFrame, reference: int = 2025) -
     told = blobs.groupBy("model").agg(says(STOPS).alias("stop"), says(GOES_ON).alias("on"))
     end = F.when((F.col("end") != reference) | F.coalesce("stop", F.lit(False)), F.col("end")).when(F.coalesce("on", F.lit(False)), F.least(F.lit(reference + 2), F.lit(LAST_YEAR))).otherwise(F.least(F.lit(reference + 1), F.lit(LAST_YEAR)))
     return windows.join(told, "model", "left").select("model", end.cast("long").alias("end"))
+
+
+def parent_totals(asked: DataFrame, world: DataFrame, europe: DataFrame) -> DataFrame:
+    """name, year, parent, eu, world: the parent of each name, and its totals in the year; asked: name, year.
+
+    world: key, year, world; europe: key, year, eu.  Parents are looked for among the keys of both.  A name that is its own
+    parent has none, and no totals.
+    """
+    parents = resolve_parents(asked.select("name").distinct(), world.select("key").union(europe.select("key")).distinct())
+    rows = asked.join(parents, "name", "left").withColumn("parent", F.when(F.col("parent") != normalize_name(F.col("name")), F.col("parent")))
+    at = lambda t: t.withColumnRenamed("key", "parent")
+    return rows.join(at(europe), ["parent", "year"], "left").join(at(world), ["parent", "year"], "left").select("name", "year", "parent", "eu", "world")
+
+
+def local_seeds(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """model, start, seed, source, history, history_units of each asked model.
+
+    asked: model, start, first, final (its window), accepted (normalised labels).  rows: model, year, units, generation: one row a
+    year.  The seed is the start year's units, under another label too, which its source tells; history are the years in the window.
+    """
+    label = normalize_generation_key(F.col("generation"))
+    met = asked.join(rows, "model", "left")
+    seed = F.max(F.when(F.col("year") == F.col("start"), F.struct(F.col("units"), F.when(F.array_contains("accepted", label), "local-db").otherwise("local-db(year-match)").alias("source"))))
+    inside = F.when(F.col("year").between(F.col("first"), F.col("final")), F.col("units"))
+    out = met.groupBy("model", "start").agg(seed.alias("s"), F.count(inside).alias("history"), F.coalesce(F.sum(inside), F.lit(0)).alias("history_units"))
+    return out.select("model", "start", F.col("s.units").alias("seed"), "s.source", "history", "history_units")

@@ -33,7 +33,7 @@ def numeric_coerce(spark, d):
 
 @query("select distinct trim(w) as word from (select unnest(string_split(p_name, ' ')) as w from part) where trim(w) <> ''")
 def str_split_explode(spark, d):
-    return table(spark, d, "part").select(F.explode(F.transform(F.split("p_name", " "), F.trim)).alias("word")).where("word <> ''").distinct()
+    return table(spark, d, "part").select(F.explode(F.transform(F.split("p_name", " "), lambda x: F.trim(x))).alias("word")).where("word <> ''").distinct()
 
 
 @query("select p_partkey, regexp_extract(n, '^(20[0-9][0-9]) (EU|World)$', 1) as year, regexp_extract(n, '^(20[0-9][0-9]) (EU|World)$', 2) as region from (select p_partkey, '20' || p_size || case when p_size % 2 = 0 then ' EU' when p_size % 3 = 0 then ' World' else ' Other' end as n from part) where regexp_matches(n, '^20[0-9][0-9] (EU|World)$')")
@@ -196,10 +196,13 @@ def mk_label(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(token != "", F.concat(F.lit("Mk"), F.upper(token))).otherwise("GEN").alias("label"))
 
 
-@query("select doc_id, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where contains(line, ': ') group by 1")
+@query("select doc_id, lang, count(*) as n, cast(sum(length(substr(line, strpos(line, ': ') + 2))) as bigint) as said from (select doc_id, lang, unnest(string_split(replace(text, '. ', ': '), chr(10))) as line from documents) where contains(line, ': ') group by 1, 2")
 def prefix_parse(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.substring_index("line", ": ", 1) != F.col("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Lines that have a prefix, and what follows it; a sentence's end stands for the colon."""
+    said = F.replace("text", F.lit(". "), F.lit(": "))
+    lines = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.split(said, "\n")).alias("line"))
+    rest = F.expr("substr(line, instr(line, ': ') + 2)")
+    return lines.where(F.contains("line", F.lit(": "))).groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum(F.length(rest)).cast("long").alias("said"))
 
 
 @query("select c_custkey, 'units ' || format('{:,}', cast(floor(c_acctbal) as bigint)) || ': ' || substr(c_name, 1, 12) as badge from customer")

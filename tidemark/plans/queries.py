@@ -266,9 +266,10 @@ def upsert_merge(spark, d):
     return lookups.merge_upsert(rows.where("k % 3 > 0"), rows.where("k % 3 < 2").withColumn("bal", -F.col("bal")), "k", ["bal"])
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_orderpriority < '3')")
 def cache_miss_antijoin(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    held = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority < '3'")
+    return table(spark, d, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'AUTOMOBILE')")

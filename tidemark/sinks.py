@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import safe_slug
 from .operators.lookups import merge_upsert
+from .operators.publish import table_names
 
 OPEN = 9999
 
@@ -42,16 +43,16 @@ def read_windows(spark: SparkSession, path: str, model: str | None = None) -> Da
     return cache.select("model", F.explode("windows").alias("w")).select("model", "w.label", "w.start", F.nullif("w.end", F.lit(OPEN)).alias("end"))
 
 
-def upsert_generations(old: DataFrame, new: DataFrame, path: str) -> None:
-    """Generations by model: new ones replace old ones of the same model; other columns of a model stay."""
-    merge_upsert(old, new, "model", ["generations"]).repartitionByRange("model").sortWithinPartitions("model").write.mode("overwrite").json(path)
+def upsert_generations(old: DataFrame, new: DataFrame, path: str, version: int = 1, today: str | None = None) -> None:
+    """Generations by model: new ones replace old ones of the same model; other columns of a model stay.  Beside them the version and the day."""
+    merge_upsert(old, new, "model", ["generations"]).repartitionByRange("model").sortWithinPartitions("model").write.mode("overwrite").json(f"{path}/models")
+    day = F.current_date() if today is None else F.lit(today)
+    old.sparkSession.range(1).select(F.lit(version).alias("version"), F.date_format(day, "yyyy-MM-dd").alias("updated_at")).write.mode("overwrite").json(f"{path}/meta")
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """The merged generations; a folder that is absent or holds no documents gives no rows."""
     schema = "model string, parent_model string, generations array<struct<name:string,start_year:int,end_year:int>>"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    place = hadoop.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if "models" not in table_names(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path}/models")
