@@ -41,17 +41,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many joined with the one row of its key; the rows of keys that are very frequent are spread over several tasks.
+def spread_joins(many: DataFrame, sides: list[tuple[DataFrame, str]], how: str = "inner") -> DataFrame:
+    """many joined with the one row of its key on each side; the rows of keys that are very frequent are spread over several tasks.
 
-    Such a key holds over a thousandth of all rows, so there are fewer than 1,000 of them, and they are broadcast.
+    Such a key holds over a thousandth of all rows, so there are fewer than 1,000 of them, and they are broadcast.  Keys are counted
+    before anything is joined, so what the sides bring along travels once a join.
     """
-    most = max(many.count() // 1000, 1000)
-    counts = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    hot = F.broadcast(written(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot"))
-    left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    most, rows, spread = max(many.count() // 1000, 1000), many, []
+    for i, (one, key) in enumerate(sides):
+        salt = f"_salt{i}"
+        counts = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        hot = F.broadcast(written(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot"))
+        rows = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+        spread.append((one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"), key, salt))
+    for one, key, salt in spread:
+        rows = rows.join(one, [key, salt], how).drop(salt)
+    return rows
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """spread_joins with one side."""
+    return spread_joins(many, [(one, key)], how)
 
 
 def text_or_empty(column: str = "text") -> Column:

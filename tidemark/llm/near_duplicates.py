@@ -22,6 +22,7 @@ gives an empty result; other columns are ignored, and kept by `keep_one` whateve
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_or_empty, written
+from .common import slices, spread_join, spread_joins, table, text_or_empty, written
 from .components import components, joined_classes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -195,15 +196,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links.  A bucket's pairs share its central node, whose pairs are spread over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [[np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("data_a", "data_b")]
             yield batch.select(["a", "b"]).filter(pa.array(map(similar, *sides), pa.bool_()))
 
-    rows = pairs.join(data.select(F.col("key").alias("b"), F.col("shingles").alias("data_b")), "b")
-    rows = rows.join(data.select(F.col("key").alias("a"), F.col("shingles").alias("data_a")), "a")
+    side = lambda c: data.select(F.col("key").alias(c), F.col("shingles").alias(f"data_{c}"))
+    rows = spread_joins(written(pairs, "pairs"), [(side("b"), "b"), (side("a"), "a")])
     return rows.select("a", "b", "data_a", "data_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -221,7 +222,7 @@ def find_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     held = texts.select("key", "n", F.posexplode("bands").alias("band", "hash")).select("key", "n", F.xxhash64("band", "hash").alias("bucket"))
     sizes = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(held.join(sizes, "bucket"), "members")
+    members = written(spread_join(written(held, "held"), sizes, "bucket"), "members")
     central = members.groupBy("key").agg(F.sum("size").alias("central"))
     members = written(members.join(central, "key"), "central")
     data = rows.select("key", "shingles").join(central.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
@@ -233,7 +234,7 @@ def find_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = small.select(F.explode(F.flatten(F.transform("x", lambda x, i: F.transform(F.slice("x", i + 2, F.lit(SMALL_BUCKET)), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
     large = members.where(F.col("size") > SMALL_BUCKET)
     pivots = large.groupBy("bucket").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("bucket", F.struct("p.key", "p.n").alias("y"))
-    pairs = pairs.union(large.join(pivots, "bucket").select(node.alias("x"), "y")).where((F.col("x.key") != F.col("y.key")) & _long_enough(F.col("x.n"), F.col("y.n")))
+    pairs = pairs.union(spread_join(large, pivots, "bucket").select(node.alias("x"), "y")).where((F.col("x.key") != F.col("y.key")) & _long_enough(F.col("x.n"), F.col("y.n")))
     links = written(verified(pairs.select(*_ordered("x.key", "y.key")).distinct(), data), "links")
     labels = components(links)
 
@@ -270,12 +271,14 @@ def _remaining(rows: DataFrame, data: DataFrame) -> DataFrame:
     mains = posts.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes"))
     posts = written(posts.join(mains.where("classes > 1").select("token", "main"), "token"), "posts")
     # those outside a shingle's largest class, with all; so a class costs work by its size, not by the square of it
-    x = posts.where(F.col("class") != F.col("main")).drop("main").alias("x")
-    y = posts.alias("y")
+    # texts of a link differ in length by SIMILARITY at most, so their bands of length are the same or next to each other
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(SIMILARITY))
+    x = posts.where(F.col("class") != F.col("main")).drop("main").withColumn("band", band).alias("x")
+    y = posts.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
     once = (F.col("y.class") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
     enough = F.least("x.left", "y.left") >= SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) - 1e-6
     fits = _long_enough(F.col("x.n"), F.col("y.n")) & enough
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits).select(*_ordered("x.key", "y.key"))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.class") != F.col("y.class")) & once & fits).select(*_ordered("x.key", "y.key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,8 +295,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(texts.select("key", F.coalesce("label", "key").alias("label"), "least", F.coalesce("links_found", F.lit(0).cast("long")).alias("links_found")), "classes")
     # the representative: least doc_id, then least key, for texts that share a doc_id
     heads = texts.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("head"))
-    classes = texts.join(heads, "label").select("key", "links_found", F.col("head.least").alias("class_id"), (F.col("key") == F.col("head.key")).alias("first"))
-    out = rows.select("doc_id", "key").join(written(classes, "classes"), "key")
+    classes = spread_join(texts, heads, "label").select("key", "links_found", F.col("head.least").alias("class_id"), (F.col("key") == F.col("head.key")).alias("first"))
+    out = spread_join(rows.select("doc_id", "key"), written(classes, "classes"), "key")
     return out.select("doc_id", "key", "class_id", "links_found", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
