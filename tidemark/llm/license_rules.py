@@ -116,7 +116,7 @@ TEXTS = [
     ("mit", "opensource", 1, r"opensource org licenses mit"),
     ("isc", "permission", 2, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", 2, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", 2, r"neither the name of [a-z0-9 ]{1,80}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse", 2, r"neither the name of [a-z0-9 ]{1,400}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", 2, r"all advertising materials mentioning features or use of this software must display the following acknowledg(e)?ment"),
     ("zlib", "misrepresented", 2, r"the origin of this software must not be misrepresented"),
     ("bsl-1.0", "permission", 2, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),

@@ -2,9 +2,10 @@
 
 A text is brought to lower-case words parted by single spaces.  Each rule is gated by keywords: only the patterns of
 which one stands in a text are tried on it, and each alternative of a pattern has one.  Their detections are intervals
-with a priority.  They are taken in order of start, longer ones first; one that lies inside the last kept one is
-suppressed, unless its priority is better, when it takes that one's place.  Labels are those of the detections that
-stay, and always those of the base phrases.
+with a priority.  One that lies inside a better one that stays is suppressed: better is a lesser priority number, or the same
+and a longer interval.  So a detection that is itself suppressed takes nothing with it, and a better one inside a worse one leaves
+both.  Labels are those of the detections that stay, and always those of the base phrases.  A clause that names its holder is
+found if the name takes at most 400 characters.
 
 Defined edge cases: a null text counts as empty and has no words, places or labels, and score 0; ties go to the longer
 interval, then the better priority, then the lesser label; repeated rows each give a row; an empty table gives an empty
@@ -72,22 +73,25 @@ def detections(norm: Column, gated: Column) -> Column:
 
 
 def resolved(found: Column) -> Column:
-    """struct<labels, score, n>: what stays after priority and containment."""
-    nothing = F.struct(F.lit(-1).alias("start"), F.lit(1).alias("back"), F.lit(99).alias("priority"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("weight"))
-    first = F.struct(nothing.alias("last"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("n"))
+    """struct<labels, score, n>: what stays after priority and containment.
 
-    def closed(acc: Column) -> tuple[Column, Column, Column]:
-        some = acc["last"]["label"].isNotNull()
-        return F.when(some, F.array_union(acc["labels"], F.array(acc["last"]["label"]))).otherwise(acc["labels"]), F.greatest(acc["score"], acc["last"]["weight"]), acc["n"] + some.cast("int")
+    A detection goes only if one that stays holds it whole and is better: of a lesser priority number, or of the same and longer
+    or the first of equals.  All that may hold a detection stand before it in the order of starts and, of one start, of falling
+    ends, so one pass decides; it keeps, for each priority, how far those that stay have come.
+    """
+    most = max(WEIGHTS)
+    none = F.array_repeat(F.lit(-1), most)
+    first = F.struct(none.alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        inside = x["back"] >= acc["last"]["back"]
-        labels, score, n = closed(acc)
-        moved = F.struct(x.alias("last"), labels.alias("labels"), score.alias("score"), n.alias("n"))
-        replaced = F.struct(x.alias("last"), acc["labels"].alias("labels"), acc["score"].alias("score"), acc["n"].alias("n"))
-        return F.when(~inside, moved).when(x["priority"] < acc["last"]["priority"], replaced).otherwise(acc)
-
-    return F.aggregate(found, first, step, lambda acc: F.struct(closed(acc)[0].alias("labels"), closed(acc)[1].alias("score"), closed(acc)[2].alias("n")))
+        end = -x["back"]
+        kept = F.struct(
+            F.transform(acc["ends"], lambda v, i: F.when(i + 1 == x["priority"], F.greatest(v, end)).otherwise(v)).alias("ends"),
+            F.array_union(acc["labels"], F.array(x["label"])).alias("labels"), F.greatest(acc["score"], x["weight"]).alias("score"), (acc["n"] + 1).alias("n"),
+        )
+        return F.when(F.array_max(F.slice(acc["ends"], F.lit(1), x["priority"])) < end, kept).otherwise(acc)
+
+    return F.aggregate(found, first, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["score"].alias("score"), acc["n"].alias("n")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
