@@ -95,7 +95,8 @@ def predecessors(docs: DataFrame) -> DataFrame:
     ids = written(ids.repartitionByRange(F.desc_nulls_last("doc_id")).withColumn("part", F.spark_partition_id()), "ids")
     order = F.desc_nulls_last("doc_id")
     me = F.struct("doc_id", "n_chars")
-    lasts = ids.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("turned"), "doc_id", "n_chars")).alias("last"))
+    # the last in this order: the null id, if there is one, else the least
+    lasts = ids.groupBy("part").agg(F.min_by(me, F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("last"))
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lasts = lasts.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.last("last").over(every)).alias("before"))
     rows = ids.withColumn("prev", F.lag(me).over(Window.partitionBy("part").orderBy(order))).join(lasts, "part")

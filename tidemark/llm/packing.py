@@ -205,7 +205,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces
     if group_pieces > 1 << 15:
         raise ValueError("a group's bins are numbered in 15 bits")
     full = pieces.where(F.col("length") >= capacity).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
-    out, rest, opened, k = full, pieces.where(F.col("length") < capacity).select("rid", "length"), None, 0
+    out, rest, opened, former, k = full, pieces.where(F.col("length") < capacity).select("rid", "length"), None, None, 0
     while n := rest.count():
         groups = -(-n // group_pieces)
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(groups)))
@@ -215,9 +215,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces
         last = groups == 1 or opened is not None and bins["bins"] >= opened
         # bit 62 and the round keep these apart from the row ids that number the full sequences
         number = F.lit((1 << 62) + (k << 46)) + F.col("grp") * (1 << 15) + F.col("bin")
-        out = out.unionByName((packed if last else packed.where("final")).select("rid", number.alias("sequence_id"), "offset", "certified"))
+        places = lambda rows: rows.select("rid", number.alias("sequence_id"), "offset", "certified")  # noqa: B023, E731
         if last:
+            # an exchange that lost bins is taken back: its pieces keep the places of the round before
+            out = out.unionByName(former if opened is not None and bins["bins"] > opened else places(packed))
             break
+        out, former = out.unionByName(places(packed.where("final"))), places(packed.where("not final"))
         rest, opened, k = packed.where("not final").select("rid", "length"), bins["opened"], k + 1
     return out
 
