@@ -9,13 +9,19 @@ that are new.  The ranks are one literal: a perfect hash table of pairs of piece
 from end to end.  The same task then puts the documents together from their words' ids, and they are decoded by
 concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows stay small.
 
-Defined edge cases: a null text counts as empty and has no tokens; a word of any length is merged whole; repeated rows
+A fold copies its state with every merge, so a word of over LONG_WORD bytes (a run of letters without a blank) is folded in
+blocks of BLOCK bytes, each a word of its own.  Blocks are joined where a document is put together: a sequence of pieces is the
+encoding of its bytes if every two neighbours are that of theirs, so it is enough to encode the pieces on both sides of a
+seam anew, and as many of them that the outermost new pieces fit their neighbours.
+
+Defined edge cases: a null text counts as empty and has no tokens; a word of any length is encoded whole; repeated rows
 each give a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +36,8 @@ from .token_counts import word_starts
 
 #: Bytes of text that are split at once; distinct words that a task numbers before it starts afresh.
 SPLIT_BYTES, NUMBERED_WORDS = 2 << 20, 600_000
+#: Bytes of a word from which it is folded in blocks, bytes of a block, and pieces on each side of a seam that are encoded anew at first.
+LONG_WORD, BLOCK, SEAM = 256, 128, 4
 #: Marks a rank among pieces; no merge; bits of a rank in the hash table.
 RANK, NONE, RANK_BITS = -(1 << 30), 1 << 29, 20
 
@@ -140,11 +148,26 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(held)), np.diff(np.append(-1, marks)) - 1
 
 
+def in_blocks(words: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray | None]:
+    """The words with long ones as their blocks, how many each text then has, and which are followed by a block of the same word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(offsets)
+    if not len(size) or size.max() <= LONG_WORD:
+        return words, counts, None
+    n = np.where(size > LONG_WORD, -(-size // BLOCK), 1)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(offsets[:-1], n) + BLOCK * nth
+    cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, offsets[-1]).astype(np.int32)), words.buffers()[2]])
+    before = np.append(0, np.cumsum(n))
+    ends = np.cumsum(counts)
+    return cut, before[ends] - before[ends - counts], np.append(nth[1:] > 0, False)
+
+
 def numbered_words(docs: DataFrame, path: str) -> DataFrame:
     """Rows of words and rows of documents, in the order in which they must be read.
 
     era counts the times that numbering started afresh; word is a new word's state, in the order of their numbers;
-    doc_id, part are a document and the numbers of its words.
+    doc_id, part are a document and the numbers of its words, inverted where a block of the same word follows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -152,7 +175,7 @@ def numbered_words(docs: DataFrame, path: str) -> DataFrame:
         names, era = ["era", "word", "doc_id", "part"], 0
         numbers: dict[bytes, int] = {}
         for batch in slices(batches, most=SPLIT_BYTES):
-            found, counts = split_words(batch.column("text").to_pylist())
+            found, counts, joint = in_blocks(*split_words(batch.column("text").to_pylist()))
             coded = found.dictionary_encode()
             if len(numbers) + len(coded.dictionary) > NUMBERED_WORDS:
                 numbers, era = {}, era + 1
@@ -163,7 +186,8 @@ def numbered_words(docs: DataFrame, path: str) -> DataFrame:
                 part = new.slice(k, 10_000)
                 none = [pa.nulls(len(part), batch.schema.field("doc_id").type), pa.nulls(len(part), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), era, np.int32)), part, *none], names=names)
-            parts = np.split(place[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts)[:-1])
+            held = place[coded.indices.to_numpy(zero_copy_only=False)]
+            parts = np.split(held if joint is None else np.where(joint, ~held, held), np.cumsum(counts)[:-1])
             held = [pa.array(np.full(len(batch), era, np.int32)), pa.nulls(len(batch), new.type), batch.column("doc_id"), pa.array([x.tobytes() for x in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(held, names=names)
 
@@ -173,8 +197,9 @@ def numbered_words(docs: DataFrame, path: str) -> DataFrame:
 class Ids:
     """The ids of the words numbered so far."""
 
-    def __init__(self, end: int):
-        self.end, self.flat, self.stops = end, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.end, self.flat, self.stops = len(ranks), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.ranks, self.pieces, self.fits = ranks, {r: p for p, r in ranks.items()}, {}
 
     def add(self, words: pa.ListArray) -> None:
         flat = words.flatten().to_numpy(zero_copy_only=False)
@@ -185,23 +210,90 @@ class Ids:
 
     def of(self, part: bytes) -> np.ndarray:
         at = np.frombuffer(part, np.int32)
+        joint = at < 0
+        if not joint.any():
+            return self._of(at)
+        at = np.where(joint, ~at, at)
+        ends = np.flatnonzero(~joint)  # of words
+        starts = np.append(0, ends[:-1] + 1)
+        out, done = [], 0
+        for a, b in zip(starts[ends > starts].tolist(), ends[ends > starts].tolist()):
+            out += [self._of(at[done:a]), self._joined(at[a : b + 1])]
+            done = b + 1
+        return np.concatenate([*out, self._of(at[done:])])
+
+    def _of(self, at: np.ndarray) -> np.ndarray:
         n = self.stops[at + 1] - self.stops[at]
         ends = np.cumsum(n)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.stops[at] - ends + n, n)]
 
+    def _joined(self, blocks: np.ndarray) -> np.ndarray:
+        """The ids of a word, from those of its blocks."""
+        out: list[int] = []
+        for k in blocks.tolist():
+            new = self.flat[self.stops[k] : self.stops[k + 1]].tolist()
+            wide = SEAM
+            while out:
+                left, right = out[-wide:], new[:wide]
+                seam = self.encoded(b"".join(self.pieces[i] for i in left + right))
+                rest, after = out[: len(out) - len(left)], new[len(right) :]
+                if (not rest or self.fit(rest[-1], seam[0])) and (not after or self.fit(seam[-1], after[0])):
+                    del out[len(rest) :]
+                    new = seam + after
+                    break
+                wide *= 2
+            out += new
+        return np.array(out, "<u4")
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether two pieces stay apart side by side."""
+        if (a, b) not in self.fits:
+            if len(self.fits) >= NUMBERED_WORDS:
+                self.fits.clear()
+            self.fits[a, b] = self.encoded(self.pieces[a] + self.pieces[b]) == [a, b]
+        return self.fits[a, b]
+
+    def encoded(self, raw: bytes) -> list[int]:
+        """The ids of a few bytes, by a heap of the merges that may come next."""
+        n, ranks = len(raw), self.ranks
+        stop = list(range(1, n + 1))  # by the start of a piece, where it ends; 0 once it is no start
+        prior = list(range(-1, n - 1))
+        heap = [(ranks[raw[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            j = stop[i]
+            if j < n and raw[i : stop[j]] in ranks:
+                heapq.heappush(heap, (ranks[raw[i : stop[j]]], i, j, stop[j]))
+
+        while heap:
+            _, i, j, k = heapq.heappop(heap)
+            if stop[i] == j and stop[j] == k:
+                stop[i], stop[j] = k, 0
+                if k < n:
+                    prior[k] = i
+                offer(i)
+                if prior[i] >= 0:
+                    offer(prior[i])
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[raw[i : stop[i]]])
+            i = stop[i]
+        return out
+
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_bytes (little-endian unsigned 32-bit) of every document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        era, end, ids = -1, len(read_ranks(ranks_path)), None
+        era, ids = -1, None
         for batch in batches:
             eras = batch.column("era").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(eras)) + 1).tolist(), len(eras)]
             for rows in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
                 if rows.column("era")[0].as_py() != era:
-                    era, ids = rows.column("era")[0].as_py(), Ids(end)
+                    era, ids = rows.column("era")[0].as_py(), Ids(read_ranks(ranks_path))
                 ids.add(rows.column("word").drop_null())
                 rows = rows.filter(rows.column("part").is_valid())
                 for part in (rows.slice(k, 500) for k in range(0, len(rows), 500)):
