@@ -7,8 +7,9 @@ trees, as CASE expressions, score it, and it is selected from its kind's thresho
 best score stays, and none that touches an exact rule's span.
 
 The trees are fitted at the call, on the driver, to SAMPLE_ROWS labelled lines that Spark writes from templates; their
-features come from the same expressions as on the main path.  A third of the lines is held out, and each kind's
-threshold is the least score from which PRECISION holds there.  The sample is bounded and independent of the corpus.
+features come from the same expressions as on the main path.  Every third template is held out whole, with all its lines, and
+each kind's threshold is the least score from which PRECISION holds there: so it is set on wordings that no tree has seen.
+The sample is bounded and independent of the corpus.
 
 Defined edge cases: a null text counts as empty and has no spans; ties of candidates go to the earlier, then the longer
 span; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -32,24 +33,36 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: An at sign or a dot that is spelled out.
+_AT, _DOT = r"(?: ?\(at\) ?| ?\[at\] ?| at )", r"(?: ?\(dot\) ?| ?\[dot\] ?| dot )"
 CANDIDATES = {
-    "address": r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,8}",
+    # begins at no later part of a spelled name, and ends before no further at sign; runs are possessive, so long ones are tried once
+    "address": rf"(?<![A-Za-z0-9._%+-])(?<! dot )(?<!dot[)\]])(?<!dot[)\]] )[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++(?!{_AT}[A-Za-z0-9])",
     "number": r"\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}+",
-    "bank": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
+    "bank": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 KINDS = (*BASE, *CANDIDATES)
-SAMPLE_ROWS, TREES, DEPTH, RATE, PRECISION = 4000, 24, 3, 0.3, 0.98
-BEFORE, AFTER = 28, 12
+SAMPLE_ROWS, TREES, DEPTH, RATE, PRECISION = 6000, 24, 3, 0.3, 0.95
+BEFORE, AFTER = 40, 24
+#: Words around a candidate, each looked for before and after it.
 CONTEXTS = {
-    "call": r"\b(phone|tel|telephone|call|mobile|cell|fax|whatsapp|dial)\b",
-    "account": r"\b(iban|account|bank|card|visa|credit|debit)\b",
-    "identity": r"\b(ssn|social security|passport|tax id|national id|licence no|driver)\b",
-    "mail": r"\b(mail|e-mail|email|contact|write|reach)\b",
-    "mine": r"\b(my|her|his|their|your|customer|patient|name)\b",
-    "other": r"\b(order|version|isbn|issn|build|page|pages|total|price|serial|ref|release|chapter|population|ratio|year|years|meet|look)\b",
+    "call": r"\b(phone|tel|telephone|call|calls|mobile|cell|fax|whatsapp|dial|text me|ring|number is|hotline|extension)\b",
+    "account": r"\b(iban|account|bank|card|visa|credit|debit|transfer|wire|payment|deposit)\b",
+    "identity": r"\b(ssn|social security|passport|tax id|national id|licence no|driver|insurance no|patient|born|identity)\b",
+    "mail": r"\b(mail|e-mail|email|contact|write|reach|send|address|ask|reply)\b",
+    "mine": r"\b(my|me|her|his|their|your|customer|name|mr|mrs|ms|dr)\b",
+    "other": r"\b(order|version|isbn|issn|build|page|pages|total|price|serial|ref|release|chapter|population|ratio|year|years|meet|look|invoice|part|item|model|sku|tracking|ticket|volume|figures|result|hash|code|id)\b",
 }
 
 
+def mod97(raw: Column) -> Column:
+    """What is left by 97 of a bank account number whose first four characters are put last, letters counting from 10."""
+    turned = F.concat(F.substring(raw, 5, 64), F.substring(raw, 1, 4))
+    digit = lambda c: F.when(F.rlike(c, F.lit("^[0-9]$")), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda acc, c: let(digit(c), lambda v: (acc * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, m>> of a pattern's matches, in code points."""
     empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
@@ -107,8 +120,9 @@ def features(text: Column, k: int, x: Column) -> Column:
         return F.array(
             F.lit(float(k)), F.length(m).cast("double"), count("[0-9]"), count("[A-Za-z]"), count("[ ]"), count("[-]"), count("[.]"), count("[()\\[\\]]"),
             flag(let(only_digits(m), luhn)), flag(F.rlike(m, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))), flag(F.rlike(m, F.lit(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"))),
-            flag(F.rlike(before, F.lit(r"[A-Za-z0-9_/.#$]$"))), flag(F.rlike(after, F.lit(r"^[A-Za-z0-9_%/]"))),
-            *[flag(F.rlike(before, F.lit(p))) for p in CONTEXTS.values()],
+            flag(F.rlike(before, F.lit(r"[A-Za-z0-9_/.#$-]$"))), flag(F.rlike(after, F.lit(r"^[-]?[A-Za-z0-9_%/]"))),
+            flag(F.lit(k == 2) & (mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1)), flag(F.rlike(m, F.lit("^(19|20)[0-9]{2}[ .-]"))), flag(F.rlike(m, F.lit(r"[ .(-]"))),
+            *[flag(F.rlike(before, F.lit(p))) for p in CONTEXTS.values()], *[flag(F.rlike(after, F.lit(p))) for p in CONTEXTS.values()],
         )
 
     start = F.greatest(x["start"] - BEFORE, F.lit(0))
@@ -124,11 +138,31 @@ def candidates(text: Column) -> Column:
     return F.concat(*[of(k, p) for k, p in enumerate(CANDIDATES.values())])
 
 
+#: Wordings of the sample: # is a digit, @ a capital, & a name, % % the check digits of the account number that they stand in.
+PERSONAL = (
+    "call me on my mobile ### ###-####", "phone (###) ###-#### after noon", "tel ###.###.####", "&'s number is ###-###-####, ring any time", "you can reach & at (###) ###-#### most days", "fax ## ## ## ## ##",
+    "text me: ### ### ####", "Dr & (###-###-####) is on duty", "his cell is ##########", "dial ###-###-#### and ask for &", "& left a message, ###-###-####, please return it", "our nurse & answers on ### #### ####", "###-###-#### is my new phone",
+    "(###) ###-#### (home), & said", "mobile: #####-######", "her telephone, ### ## ## ##, rang",
+    "my ssn is ###-##-####", "social security no ###-##-#### of the patient", "the patient's record lists ###-##-#### for &", "her passport number ########", "& gave ###-##-#### as the social security number", "driver licence no ######## of &", "tax id ##-####### belongs to &", "###-##-#### (ssn of &)",
+    "born 1980, national id ###########, named &",
+    "customer &, credit card #### #### #### ####", "card ####-####-####-#### of &", "my visa is ################", "charge #### ###### ##### to my card", "debit card #### #### #### ####, name &",
+    "write to & at & dot com", "contact &(at)&(dot)org today", "reach her: &[at]&[dot]net", "e-mail & (at) & (dot) com", "& dot & at & dot org is my mail", "send it to & dot & at & dot co dot uk", "mail: & [at] & [dot] com", "ask & at & dot edu for a copy", "reply to &_##(at)&(dot)de", "her address is &## at & dot net",
+    "iban @@%% #### #### #### ##", "bank account @@%%@@@@##############", "please transfer to @@%% #### #### #### #### ##", "@@%% @@@@ #### #### #### is my account", "wire it to @@%%################## for &", "IBAN: @@%% #### #### #### #### #### #", "the deposit went to @@%%##############", "pay & (@@%% #### #### #### ##) by friday",
+)
+IMPERSONAL = (
+    "order ###-##-#### was sent", "version ####.##.##.#", "isbn 978-#-##-######-#", "population # ### ###", "in the years ####-#### they", "pages ####-#### of volume", "serial ############", "ratio #.#########", "total $####.###.###", "build ####-##-##-####",
+    "token=##########ab", "& ##################### &", "& ################ &", "&, ### ### #### & &", "price ### ### ###", "invoice ##########", "part ###-####-## fits", "tracking ## ### ### ### ###", "ticket ######## is closed", "from 20##-##-## to 20##-##-##", "at 20##-##-## ##:##",
+    "item ###-##-##### in blue", "the code ########## failed", "model ###-###-####-# is new", "issn ####-#### of the journal", "figures: ### ### ### ### ###", "the sum of ##########", "id=############", "##########.##", "sku ###.###.####.#", "hash ##########ff##", "result ###,###,###", "chapter ##-##-##-## ends",
+    "won by ### ### votes", "1,###,### people", "section ###.###.##.#", "coordinates ##.###### ##.######", "the years 19##-20## and 20##-20##", "lot ###/####/###",
+    "we meet at & dot & rule", "look at the dot com page", "stand at the dot and wait", "he looks at & dot by dot", "a point at which dot meets dot", "we stayed at home dot it rained", "look at each dot there",
+    "ref @@## #### #### ####", "release @@##@@@@@@@@@@@@ of &", "serial @@## @@@@ #### ####", "part @@################", "model @@##@@####@@####", "key @@##@@@@####@@@@####", "code @@## #### #### #### ##", "batch @@##############",
+)
+
+
 def labelled_lines(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """line, text, label: lines from templates, about half with personal data; # is a digit, @ a capital, & a word."""
-    yes = ("call me on my mobile ### ###-####", "phone (###) ###-#### after noon", "tel ###.###.####", "my ssn is ###-##-####", "social security no ###-##-#### of the patient", "write to & at & dot com", "contact &(at)&(dot)org today", "reach her: &[at]&[dot]net", "iban @@## #### #### #### ##", "bank account @@##@@@@#############", "her passport number ########", "customer &, credit card #### #### #### ####", "fax ## ## ## ## ##", "e-mail & (at) & (dot) com")
-    no = ("order ###-##-#### was sent", "version ####.##.##.#", "isbn 978-#-##-######-#", "population # ### ###", "in the years ####-#### they", "pages ####-#### of volume", "serial ############", "ratio #.#########", "we meet at & dot & rule", "look at the dot com page", "total $####.###.###", "build ####-##-##-####", "ref @@## #### #### ####", "token=##########ab", "& ##################### &", "& ################ &", "&, ### ### #### & &", "release @@##@@@@@@@@@@@@ of &", "price ### ### ###")
-    names = ("lorem", "thanor", "elin", "marco", "river", "stone", "orinth", "dales")
+    """line, wording (its number), text, label: lines from the wordings in turn, with names and figures of their own."""
+    names = ("lorem", "thanor", "elin", "marco", "river", "stone", "orinth", "dales", "jane", "petra", "okoye", "novak")
+    wordings = F.array(*map(F.lit, PERSONAL + IMPERSONAL))
     pick = lambda n, of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64("line", F.lit(n)), F.lit(len(of))) + 1).cast("int"))
     fill = lambda c, i: (
         F.when(c == "#", F.pmod(F.xxhash64("line", i), F.lit(10)).cast("string"))
@@ -136,9 +170,13 @@ def labelled_lines(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
         .when(c == "&", F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("line", i), F.lit(len(names))) + 1).cast("int")))
         .otherwise(c)
     )
-    lines = spark.range(rows).select(F.col("id").alias("line"), (F.pmod(F.xxhash64("id"), F.lit(2)) == 1).cast("int").alias("label"))
-    lines = lines.withColumn("template", F.concat(pick(1, names), F.lit(" "), F.when(F.col("label") == 1, pick(2, yes)).otherwise(pick(3, no)), F.lit(" "), pick(4, names), F.lit(".")))
-    return lines.select("line", F.array_join(F.transform(F.split("template", ""), fill), "").alias("text"), "label")
+    wording = (F.col("id") % len(PERSONAL + IMPERSONAL)).cast("int")
+    lines = spark.range(rows).select(F.col("id").alias("line"), wording.alias("wording"), (wording < len(PERSONAL)).cast("int").alias("label"))
+    lines = lines.withColumn("template", F.concat_ws(" ", pick(1, ("", "so", "then", "well,", "note:")), pick(2, names), F.get(wordings, F.col("wording")), pick(3, ("", "now", "as before", "they said")), pick(4, names)))
+    lines = lines.withColumn("text", F.concat(F.array_join(F.transform(F.split("template", ""), fill), ""), F.lit(".")))
+    number = F.regexp_extract("text", r"[A-Z]{2}%%[ A-Z0-9]*[A-Z0-9]", 0)
+    check = F.lpad((98 - mod97(F.replace(F.replace(number, F.lit(" "), F.lit("")), F.lit("%%"), F.lit("00")))).cast("string"), 2, "0")
+    return lines.select("line", "wording", F.when(number == "", F.col("text")).otherwise(F.replace("text", F.lit("%%"), check)).alias("text"), "label")
 
 
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
@@ -177,11 +215,27 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def train(spark: SparkSession) -> tuple[list, dict[int, float], float]:
-    """The trees, each kind's threshold on the score, and the accuracy on the held-out third."""
-    lines = labelled_lines(spark).withColumn("c", F.explode(candidates(F.col("text")))).select("line", "label", "c.k", "c.f")
+    """The trees, each kind's threshold on the score, and the accuracy on the lines of the wordings held out."""
+    model, thresholds, score, y, _ = _trained(spark)
+    return model, thresholds, float(((score > 0) == (y == 1)).mean())
+
+
+def held_out(spark: SparkSession) -> dict[str, tuple[float, float]]:
+    """Precision and recall by kind, of the candidates in lines of the wordings held out."""
+    _, thresholds, score, y, k = _trained(spark)
+    out = {}
+    for kind, least in thresholds.items():
+        taken, real = score[k == kind] >= least, y[k == kind] == 1
+        out[KINDS[kind]] = (float((taken & real).sum() / max(taken.sum(), 1)), float((taken & real).sum() / max(real.sum(), 1)))
+    return out
+
+
+def _trained(spark: SparkSession) -> tuple[list, dict[int, float], np.ndarray, np.ndarray, np.ndarray]:
+    """The trees, the thresholds, and of the candidates held out their scores, labels and kinds."""
+    lines = labelled_lines(spark).withColumn("c", F.explode(candidates(F.col("text")))).select("line", "wording", "label", "c.k", "c.f")
     rows = lines.orderBy("line", "k").collect()  # at most a few for each of SAMPLE_ROWS lines
     x, y, k = np.array([r["f"] for r in rows]), np.array([r["label"] for r in rows], float), np.array([r["k"] for r in rows])
-    held = np.array([r["line"] % 3 == 0 for r in rows])
+    held = np.array([r["wording"] % 3 == 0 for r in rows])
     model = fit(x[~held], y[~held])
     score = sum(_value(t, x[held]) for t in model)
     thresholds = {}
@@ -190,7 +244,7 @@ def train(spark: SparkSession) -> tuple[list, dict[int, float], float]:
         order = np.argsort(-s)
         precise = np.flatnonzero(np.cumsum(t[order]) >= PRECISION * np.arange(1, len(t) + 1))
         thresholds[kind] = float(max(s[order[precise[-1]]], 0.0)) if len(precise) else float("inf")
-    return model, thresholds, float(((score > 0) == (y[held] == 1)).mean())
+    return model, thresholds, score, y[held], k[held]
 
 
 def _case(tree, f: Column) -> Column:
