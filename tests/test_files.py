@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sinks
 from tidemark.functions import text
-from tidemark.operators import detection, documents, enforcement, lookups, publish, regions, support
+from tidemark.operators import detection, documents, enforcement, estimation, lookups, publish, regions, support
 from tidemark.sources import sales_lists
 from tidemark.storage import VersionedTable
 
@@ -242,6 +242,47 @@ def test_tables_by_name(spark, tmp_path):
     assert publish.read_table(spark, str(tmp_path), "2015 World").count() == 3 and publish.read_table(spark, str(tmp_path), "2014 EU") is None
 
 
+def test_the_newest_output(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(["sales_estimates_b.xlsx", "sales_estimates_a.xlsx", "other.xlsx"]):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_700_000_000 + (k == 0) * 60, 1_700_000_000 + (k == 0) * 60))
+    assert publish.newest(spark, f"{tmp_path}/sales_estimates_*.xlsx").endswith("/sales_estimates_b.xlsx")
+    assert publish.newest(spark, f"{tmp_path}/none_*") is None
+
+
+def test_names_of_a_line_by_line_catalogue(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("audi a3\tbmw x5+ kia/RIO & x\n\n  vw id.4 \nAUDI A3\n")
+    assert {r.token for r in sales_lists.read_tokens(spark, f"{tmp_path}/names.txt").collect()} == {"Audi A3", "Bmw X5", "Kia", "Rio", "X", "Vw Id.4"}
+
+
+def test_estimate_from_end_to_end(spark):
+    frame = spark.createDataFrame
+    asked = frame([(1, "Golf", 2015, None), (2, "Golf Estate", 2015, None), (3, "Zed", 2015, "Mk2")], "ask long, model string, year int, generation string")
+    history = frame([("EU", "golf", y, "Golf", "VII", 1000 * (y - 2000), False) for y in range(2012, 2016)] + [("World", "golf", 2012, "Golf", "VII", 90_000, False)], "region string, key string, year int, model string, generation string, units long, estimated boolean")
+    cached = frame([("Golf", "Golf Mk7", 2012, 2019), ("Golf Estate", "Mk7 estate", 2012, 9999)], "model string, label string, start int, end int")
+    pages = frame([], "model string, html string")
+    texts = frame([("Golf Estate", 0, "discontinued in 2017", None)], "model string, place int, text string, url string")
+    catalogue = frame([("golf", 2004, "Mk 7")], "key string, from_year int, code string")
+    proposals = frame([(1, 2013, 50_000, 20_000, "guess"), (3, 2014, 10, 90, "guess"), (3, 2016, 500, 100, "guess")], "ask long, year int, world long, europe long, rationale string")
+    answers = frame([], "query string, response string")
+    got = estimation.estimate(asked, history, cached, pages, texts, catalogue, answers, proposals)
+    assert {tuple(r) for r in got["Windows"].collect()} == {(1, "Mk7", 2012, 2019, "cache_fixed"), (2, "Mk7", 2012, 2017, "cache_open_resolved"), (3, "Mk2", 2014, 2022, "default_named")}
+    limits = {r.ask: r for r in got["Constraints"].collect()}
+    assert (limits[1].eu_exact, limits[1].world_exact, limits[1].parent, limits[1].eu_source) == (12_000, 90_000, None, "local-db(year-match)")
+    # the estate has no figures of its own: the middle shares of its parent's 12,000 and 90,000
+    assert (limits[2].parent, limits[2].variant, limits[2].eu_exact, limits[2].world_exact) == ("golf", "body_style/wagon", 3_600, 25_200)
+    assert (limits[3].eu_exact, limits[3].world_exact, limits[3].world_low) == (None, None, None)
+    rows = {(r.model, r.year): r for r in got["Estimates"].collect()}
+    assert len(rows) == (2036 - 2012) * 2 + (2036 - 2014)
+    assert (rows[1, 2012].world_sales, rows[1, 2012].europe_sales, rows[1, 2012].rationale) == (90_000, 12_000, "Europe start fixed. World start fixed.")
+    assert rows[1, 2013].world_sales == int(0.6 * round(90_000 * 1.35) + 0.4 * 50_000) and rows[1, 2020].world_sales == 0 and not rows[1, 2020].gen_active
+    assert rows[3, 2014].world_sales == 90 and rows[3, 2014].europe_sales == 90  # the world is never below Europe at the start
+    assert (rows[1, 2012].supported, rows[1, 2012].match_type, rows[2, 2012].match_type) == (True, "by_year_exact_gen", "no_model_match")
+    assert rows[1, 2013].world_fleet == 90_000 + rows[1, 2013].world_sales and got["Fleet_Repairs"].count() == len(rows)
+
+
 def test_what_can_be_asked_for():
     assert publish.year_span("2015-2017") == range(2015, 2018) and publish.year_span(" 2020 ") == range(2020, 2021)
     assert publish.request(" Golf ", "", "2019") == ("Golf", "", 2019)

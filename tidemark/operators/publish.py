@@ -91,6 +91,13 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{name}") if name in table_names(spark, path) else None
 
 
+def newest(spark: SparkSession, pattern: str) -> str | None:
+    """The file or folder of a pattern that was changed last, by the listing alone; ties go to the greater path; none if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return max(((s.getModificationTime(), s.getPath().toString()) for s in found or []), default=(0, None))[1]
+
+
 def year_span(text: str) -> range:
     """`2015-2025`, both included, or a single year."""
     first, _, last = text.strip().partition("-")

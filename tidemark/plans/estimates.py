@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import documents, enforcement, estimates, evidence, lookups, regions, support
+from ..operators import documents, enforcement, estimates, estimation, evidence, lookups, regions, support
 from ..sources import sales_lists
 from .queries import _STOCK, WITH, YEARS, _SALES, _FROM, _LOCAL, query, sales, table
 
@@ -270,3 +270,19 @@ def plausibility_note(spark, d):
     of = lambda year, when: F.sum(F.when((F.col("year") == year) & when, F.col("units")))
     rows = sales(spark, d, True).groupBy("model").agg(of(1996, _number() % 3 > 0).alias("prior"), of(1997, _number() % 4 > 0).alias("total"))
     return rows.select("model", evidence.plausibility(F.col("prior"), F.col("total")).alias("note"))
+
+
+@query("""with x as (select p_partkey, '"' || p_name || '"' as name, 2000 + p_size % 20 as y, p_size % 12 + 1 as n, p_size % 2 = 0 as g from part),
+  f as (select p_partkey, name || case when g then ' ("' || n || 'th generation" OR "Mk' || n || '" OR "mark ' || n || '" OR "mk ' || n || '" OR "mk' || n || '")' else '' end || ' ' || y || ' ' as q from x)
+  select p_partkey as ask, region, cast(1000 * length(q || words) as bigint) as value, 'l' || length(q || words) as url, true as is_model_level from f, (values ('europe', 'registrations europe -price -msrp -€ -$'), ('world', 'worldwide sales -price -msrp -€ -$')) t(region, words)""")
+def web_seed(spark, d):
+    """The best figures of the answers to an ask's searches; a provider has one answer for each search."""
+    n = F.col("p_size")
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("ask"), F.col("p_name").alias("model"), F.when(n % 2 == 0, F.concat(F.lit("Mk"), (n % 12 + 1).cast("string"))).alias("generation"), (n % 20 + 2000).alias("year"))
+    searches = asked.select("model", "generation", "year", F.posexplode(evidence.search_queries(F.col("model"), F.col("generation"), F.col("year"))).alias("i", "query")).distinct()
+    figure = F.format_number(F.length("query") * 1000, 0)
+    said = lambda words: F.concat_ws(" ", "model", "generation", F.lit(words), F.concat(F.col("year").cast("string"), F.lit(":")), figure, F.lit("units"))
+    snippet = F.when(F.col("i") < 2, said("sales in europe")).when(F.col("i") < 4, said("worldwide deliveries")).otherwise("no figures of sales")
+    result = F.struct(F.col("model").alias("title"), snippet.alias("snippet"), F.concat(F.lit("l"), F.length("query").cast("string")).alias("link"))
+    answers = searches.select("query", F.to_json(F.struct(F.array(result).alias("organic_results"))).alias("response"))
+    return estimation.web_seed(asked, answers).select("ask", "region", "value", "url", "is_model_level")

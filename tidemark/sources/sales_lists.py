@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_generation_label, normalize_name, title_case_tidy
+from ..functions.text import catalogue_tokens, normalize_generation_label, normalize_name, title_case_tidy
 
 REGIONS = ("EU", "World")
 SALES = "file string, record int, region string, year int, model string, generation string, units long, estimated boolean"
@@ -105,3 +105,8 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     rows = entries.select("i", normalize_name(F.regexp_extract("entry", r'^"([^"]+)"', 1)).alias("key"), F.posexplode(pairs).alias("j", "pair"))
     rows = rows.select("i", "j", "key", F.regexp_extract("pair", "^([0-9]{4})", 1).cast("int").alias("from_year"), F.regexp_extract("pair", '"([^"]+)"$', 1).alias("code"))
     return rows.groupBy("key", "from_year").agg(F.max_by("code", F.struct("i", "j")).alias("code"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """token: the distinct names of a catalogue that is read line by line."""
+    return spark.read.text(path).select(F.explode(catalogue_tokens(F.col("value"))).alias("token")).distinct()
