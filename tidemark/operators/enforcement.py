@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import UNITS_CAP, clamp
+from .estimates import LAST_YEAR
 
-LAST_YEAR = 2035
 # What is added to the reason of a year that was changed.
 EUROPE_FIXED, WORLD_FIXED, FILLED, OUTSIDE = "Europe start fixed.", "World start fixed.", "Filled by client.", "Outside generation window -> zero."
 #: Growth by years since the first: +35 %, twice +12 %, twice +5 %, then -8 % (fixed values).

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import REPLACED, decay_after_first_year
 from ..functions.text import normalize_generation_key
+from .estimates import LAST_YEAR
 
-FIRST_YEAR, LAST_YEAR = 1990, 2035
+FIRST_YEAR = 1990
 
 
 def fleet_of_both(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, pages, text
 from ..operators import enforcement, lookups, publish
-from .estimates import _ENFORCED, _GROWN, _MIXED, _enforced, _number
+from .estimates import _ENFORCED, _MIXED, _enforced, _number
 from .queries import WITH, query, sales, table
 from .wordings import _pick, _s
 
@@ -15,7 +15,6 @@ _SMOOTHED = f"""{_ENFORCED}, r as (select * from held where year >= s),
   c as (select model, year, world, europe, rationale, 1 as n from r where year = s
     union all select r.model, r.year, {_MIXED('world')}, {_MIXED('europe')}, r.rationale, c.n + 1 from c join r on r.model = c.model and r.year = c.year + 1),
   est as (select model, year, least(world, 3000) as world, least(europe, least(world, 3000)) as europe, rationale from c)"""
-assert _GROWN in _SMOOTHED
 
 
 @query(f"""with recursive {_SMOOTHED},
@@ -141,12 +140,12 @@ def language_windows(spark, d):
 
 
 @query("""with k as (select c_custkey, 'a' || c_custkey % 4 || ' x ' || c_custkey % 3 as a, c_custkey % 3 || ' a' || c_custkey % 5 as b from customer)
-  select c_custkey, c_custkey % 4 = c_custkey % 5 as same, c_custkey % 4 = c_custkey % 5 as inside, true as words from k""")
+  select c_custkey, c_custkey % 4 = c_custkey % 5 as same, c_custkey % 4 = c_custkey % 5 as inside, c_custkey % 7 > 0 as words from k""")
 def set_tests(spark, d):
     """Whether two names have the same words with digits, one's are among the other's, and a column holds truth words alone."""
     c = F.col("c_custkey")
     a, b = text.digit_tokens(text.normalize_name(_s("A", c % 4, " x ", c % 3))), text.digit_tokens(text.normalize_name(_s(c % 3, " a", c % 5)))
-    words = F.array(F.when(c % 2 == 0, "vrai").otherwise("FALSE"), F.lit("1"))
+    words = F.array(F.when(c % 2 == 0, "vrai").otherwise("FALSE"), F.when(c % 7 == 0, "oui").otherwise("1"))
     inside = F.size(F.array_except(F.transform(words, F.lower), F.array(*map(F.lit, ("true", "false", "vrai", "faux", "1", "0"))))) == 0
     return table(spark, d, "customer").select("c_custkey", (a == b).alias("same"), (F.size(F.array_except(a, b)) == 0).alias("inside"), inside.alias("words"))
 
