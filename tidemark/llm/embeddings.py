@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_join, table, written
+from .common import slices, spread_join, table, written
 from .components import components
 
 COSINE = 0.93
@@ -82,11 +82,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _by_dim(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch, cut so that all vectors of a part have the same number of components."""
-    dims = batch.column("dim").to_numpy()
-    for d in np.unique(dims):
-        yield batch if (dims == d).all() else batch.filter(pa.array(dims == d))
+def _by_dim(whole: pa.RecordBatch, vector: str = "unit") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some megabytes, all vectors of a part with the same number of components."""
+    for batch in slices([whole], vector):
+        dims = batch.column("dim").to_numpy()
+        for d in np.unique(dims):
+            yield batch if (dims == d).all() else batch.filter(pa.array(dims == d))
 
 
 def _cells(x: np.ndarray, kind: int, number: int, half_spaces: int) -> np.ndarray:
@@ -100,16 +101,17 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists, known = batch.column("embedding"), batch.column("label").is_valid().to_pylist()
+            offsets, valid = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
             dims, units = [], []
-            for v, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist()):
-                x = None if not v or label is None or any(c is None for c in v) else np.array(v, np.float64)
-                if x is not None and (not np.isfinite(x).all() or not x.any()):
-                    x = None
-                if x is not None:
+            for a, b, real in zip(offsets, offsets[1:], map(all, zip(valid, known))):
+                x = lists.values.slice(a, b - a).cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is no number
+                fine = real and len(x) and np.isfinite(x).all() and x.any()
+                if fine:
                     x = x / np.abs(x).max()  # so that no square is lost or overflows
                     x = x / math.sqrt(x @ x)
-                dims.append(len(v) if v else 0)
-                units.append(None if x is None else x.tobytes())
+                dims.append(len(x))
+                units.append(x.tobytes() if fine else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "label", "dim", "unit"])
 
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, dim int, unit binary")
@@ -226,7 +228,7 @@ def resolved(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _by_dim(batch):
+            for part in _by_dim(batch, "centre_a"):
                 cosines = np.einsum("ij,ij->i", _matrix(part.column("centre_a")), _matrix(part.column("centre_b")))
                 wide = part.column("radius_a").to_numpy() + part.column("radius_b").to_numpy()
                 angle = np.arccos(np.clip(cosines, -1, 1))
