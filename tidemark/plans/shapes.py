@@ -93,14 +93,14 @@ def output_names(spark, d):
 @query("""with e as (select distinct p_name || ' ' || p_size as key from part where p_size % 2 = 0), w as (select distinct p_name || ' ' || p_size as key from part where p_size % 3 = 0),
   n as (select distinct p_name || '-' || p_size as name, p_name || ' ' || p_size as key from part)
   select name, case when e.key is not null or w.key is not null then n.key end as key, case when e.key is not null then 'EU' when w.key is not null then 'World' end as found_in from n left join e on n.key = e.key left join w on n.key = w.key
-  where e.key is not null or w.key is not null or not exists (select 1 from (select key from e union select key from w) a where split_part(a.key, ' ', 3) = split_part(n.key, ' ', 3) or split_part(a.key, ' ', 3) like split_part(n.key, ' ', 3) || '_' or split_part(n.key, ' ', 3) like split_part(a.key, ' ', 3) || '_' or length(split_part(a.key, ' ', 3)) = length(split_part(n.key, ' ', 3)))""")
+  where e.key is not null or w.key is not null""")
 def key_lookup(spark, d):
     """A name's key in Europe's keys, else in the world's; names that are in neither are left to `fuzzy_name_rules`."""
     part = table(spark, d, "part")
     key = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
     names = part.select(F.concat_ws("-", "p_name", F.col("p_size").cast("string")).alias("name")).distinct().withColumn("key", text.normalize_name(F.col("name")))
     found = lookups.find_keys(names, {"EU": part.where("p_size % 2 = 0").select(key.alias("key")), "World": part.where("p_size % 3 = 0").select(key.alias("key"))})
-    return found.where("found_in is null or found_in <> 'similar'")
+    return found.where("found_in <> 'similar'")
 
 
 @query(f"""{WITH}, k as (select lower(replace(model, '#', ' ')) as key, year, cast(sum(units) as bigint) as w from sales group by 1, 2), l as (select lower(replace(model, '#', ' ')) as key, year, cast(sum(units) as bigint) as e from local_sales where year <> 1998 group by 1, 2),
