@@ -12,13 +12,13 @@ CACHE = "struct<model:string,lang:string,windows:array<struct<label:string,start
 REGION = "struct<exact:map<string,bigint>,range:map<string,struct<lo:bigint,hi:bigint>>>"
 CONSTRAINTS = f"struct<europe:{REGION},world:{REGION},zero_years:array<int>>"
 OPEN = 9999
-#: The row of a summary: name, path in the estimate's document (null: given), in order (fixed values).
+#: The row of a summary: name, path in the estimate's document, in order (fixed values).
 SUMMARY = {
     "Model": "$.data.model", "Generation_Input_or_Detected": "$.seed.generation", "Generation_Window_Start": "$.seed.generation_window.start",
     "Generation_Window_End": "$.seed.generation_window.end", "Generation_Window_Basis": "$.seed.generation_window_basis", "Generation_Alias_Used": "$.seed.generation_alias_used",
     "Generation_Context_From_Model": "$.data.generation_or_trim_context", "Start_Year": "$.data.start_year", "End_Year": "$.data.end_year", "Confidence": "$.data.confidence",
     "Plausibility_Flag": "$.diag.plausibility.flag", "Plausibility_Reason": "$.diag.plausibility.reason", "Seed_Source_Note": "$.diag.plausibility.source_note",
-    "ICOR_Supported": "$.diag.supported_flag", "ICOR_Match_Type": "$.diag.match_type", "ICOR_Matched_Row": "$.diag.matched_row",
+    "Catalogue_Supported": "$.diag.supported_flag", "Catalogue_Match_Type": "$.diag.match_type", "Catalogue_Matched_Row": "$.diag.matched_row",
     "Parent_Model_Key": "$.seed.variant_derivation_note.parent_model_key", "Variant_Derivation_Mode": "$.seed.variant_derivation_note.mode",
     "Variant_EU_Prior_LMH": "$.seed.variant_derivation_note.eu_prior_low_mid_high", "Variant_World_Prior_LMH": "$.seed.variant_derivation_note.world_prior_low_mid_high",
     "Variant_Reasons": "$.seed.variant_derivation_note.reasons",
@@ -27,7 +27,8 @@ SUMMARY = {
 
 def summary(document: Column) -> list[Column]:
     """The columns of an estimate's summary row, from its document in JSON; an absent reason or note is empty, an absent flag false."""
-    said = {name: F.get_json_object(document, path) for name, path in SUMMARY.items()}
+    read = F.try_parse_json(document)  # one expression for all columns, so a document is parsed once
+    said = {name: F.try_variant_get(read, path, "string") for name, path in SUMMARY.items()}
     said["Plausibility_Flag"] = F.coalesce(said["Plausibility_Flag"].try_cast("boolean"), F.lit(False))
     for name in ("Plausibility_Reason", "Seed_Source_Note"):
         said[name] = F.coalesce(said[name], F.lit(""))

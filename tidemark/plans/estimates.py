@@ -126,7 +126,7 @@ def support_by_table(spark, d):
 @query("""select o_orderkey, o_orderpriority as "Model", o_orderstatus as "Generation_Input_or_Detected", cast(1990 + o_custkey % 20 as bigint) as "Generation_Window_Start", cast(case when o_custkey % 3 > 0 then 2010 end as bigint) as "Generation_Window_End",
   'page_fixed' as "Generation_Window_Basis", case when o_custkey % 5 = 0 then 'vii' end as "Generation_Alias_Used", o_orderpriority || ' ' || o_orderstatus as "Generation_Context_From_Model", cast(year(o_orderdate) as bigint) as "Start_Year", cast(2035 as bigint) as "End_Year",
   case when o_totalprice > 200000 then 'high' else 'low' end as "Confidence", o_custkey % 4 = 0 as "Plausibility_Flag", case when o_custkey % 4 = 0 then 'small' else '' end as "Plausibility_Reason", case when o_custkey % 4 = 0 then 'web' else '' end as "Seed_Source_Note",
-  cast(o_custkey % 2 = 0 as varchar) as "ICOR_Supported", 'by_year_exact_gen' as "ICOR_Match_Type", '{"k":' || coalesce(json_extract_string(props, '$.k'), '0') || '}' as "ICOR_Matched_Row", case when o_custkey % 6 = 0 then 'golf' end as "Parent_Model_Key", case when o_custkey % 6 = 0 then 'prior-mid' end as "Variant_Derivation_Mode",
+  cast(o_custkey % 2 = 0 as varchar) as "Catalogue_Supported", 'by_year_exact_gen' as "Catalogue_Match_Type", '{"k":' || coalesce(json_extract_string(props, '$.k'), '0') || '}' as "Catalogue_Matched_Row", case when o_custkey % 6 = 0 then 'golf' end as "Parent_Model_Key", case when o_custkey % 6 = 0 then 'prior-mid' end as "Variant_Derivation_Mode",
   case when o_custkey % 6 = 0 then '[0.15,0.25,0.35]' end as "Variant_EU_Prior_LMH", case when o_custkey % 6 = 0 then '[0.12,0.22,0.32]' end as "Variant_World_Prior_LMH", case when o_custkey % 6 = 0 then 'EU seed missing, World seed missing' else '' end as "Variant_Reasons"
   from orders left join events on event_id = o_orderkey""")
 def estimate_summary(spark, d):
