@@ -134,6 +134,28 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.encode(none, path).count() == 0
 
 
+def test_fold_keeps_one_entry_a_piece(spark):
+    import pyarrow as pa
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    words = [b"a", b"aaaa", b"ababab", b" the", b"\xff\xfe", b"x" * byte_bpe.LONG_WORD, *(rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in range(1, 60)), *(rng.bytes(n) for n in range(1, 60))]
+    states = byte_bpe.states(pa.array(words, pa.binary()), ranks).to_pylist()
+    assert [len(s) for s in states] == [len(w) + 2 for w in words]
+    rows = spark.createDataFrame(list(enumerate(states)), "i int, word array<bigint>").select("i", byte_bpe.merged(F.col("word"), path).alias("word"))
+    for i, state in rows.collect():
+        pieces = [x % byte_bpe.PLACE for x in state]
+        assert pieces == [len(ranks), *library._encode_single_piece(words[i]), len(ranks)], words[i]
+        assert [x % byte_bpe.RANK // byte_bpe.PLACE for x in state] == list(range(len(state)))
+    displaced, held, factor = byte_bpe.rank_table(path)
+    pairs = {left * factor + right: rank for left, right, rank in byte_bpe.merges(ranks)}
+    assert {x % byte_bpe.RANK: x // byte_bpe.RANK for x in held if x >= 0} == pairs
+    assert all(held[(k ^ displaced[k % len(displaced)]) & (len(held) - 1)] % byte_bpe.RANK == k for k in pairs)
+
+
 def test_long_words_in_blocks(spark):
     import tiktoken
 

@@ -2,12 +2,17 @@
 
 Documents are split into pre-tokens by the splitter's automaton.  A task passes each distinct word once, as a row of its own
 before the documents that hold it, and a document as the numbers of its words.  Spark folds the ranked merges over each
-word.  The state is an array of the word's pieces with, between two pieces, the rank at which they merge: [end, none,
-piece, rank, piece, ..., piece, none, end].  Ranks are negative and pieces are not, so the least entry is the merge that
-comes next (the leftmost of equals); a step puts the merged piece in the place of both and looks up only the two ranks
-that are new.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain Spark map would be searched
-from end to end.  The same task then puts the documents together from their words' ids, and they are decoded by
-concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows stay small.
+word.  The state is an array of the word's pieces between two ends.  An entry holds, from its high bits, the rank at which its
+piece merges with the next one, its place in the array and the piece.  So the least entry is the merge that comes next (the
+leftmost of equals) and tells where it is; a step leaves out the entry behind it, puts the merged piece in its place and
+looks up only the two ranks that are new.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain
+Spark map would be searched from end to end.  The same task then puts the documents together from their words' ids, and they
+are decoded by concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows
+stay small.
+
+Steps are interpreted, so their form decides the cost: array_position leaves its loop by an exception, slice and concat go
+through Scala collections, and a value named by transform is copied; filter, transform by place and the last lambda of an
+aggregate are not so.
 
 A fold copies its state with every merge, so a word of over LONG_WORD bytes (a run of letters without a blank) is folded in
 blocks of BLOCK bytes, each a word of its own.  Blocks are joined where a document is put together: a sequence of pieces is the
@@ -23,7 +28,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +43,9 @@ from .token_counts import word_starts
 SPLIT_BYTES, NUMBERED_WORDS = 2 << 20, 600_000
 #: Bytes of a word from which it is folded in blocks, bytes of a block, and pieces on each side of a seam that are encoded anew at first.
 LONG_WORD, BLOCK, SEAM = 256, 128, 4
-#: Marks a rank among pieces; no merge; bits of a rank in the hash table.
-RANK, NONE, RANK_BITS = -(1 << 30), 1 << 29, 20
+#: An entry's bits: the piece is below PLACE, the entry's place below RANK, the rank above; no merge.
+PLACE, RANK = 1 << 17, 1 << 32
+NONE = (1 << 20) * RANK
 
 
 @lru_cache(maxsize=2)
@@ -58,77 +64,97 @@ def merges(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=2)
-def rank_table(path: str) -> tuple[list[int], list[int]]:
-    """A perfect hash table of the pairs: each group's displacement, and in each slot key << RANK_BITS | rank, or -1.
+def rank_table(path: str) -> tuple[list[int], list[int], int]:
+    """A perfect hash table of the pairs: each group's displacement, in each slot rank * RANK + key or -1, and the keys' factor.
 
-    A pair's slot is (key + displacement of its group * (1 + key % (slots - 2))) % slots; groups are placed largest first.
+    A pair's key is left * factor + right, its group the key's rest by the number of groups (odd), its slot the key's low bits
+    XOR the group's displacement.  The factor is the first by which no two pairs of a group share these bits; groups are placed
+    largest first.
     """
-    pairs = {left * 65536 + right: rank for left, right, rank in merges(read_ranks(path))}
-    slots, groups = int(1.4 * len(pairs)) | 1, len(pairs) // 3 + 1
-    members: list[list[int]] = [[] for _ in range(groups)]
-    for key in pairs:
-        members[key % groups].append(key)
-    displaced, held = [0] * groups, [-1] * slots
-    for g in sorted(range(groups), key=lambda g: -len(members[g])):
-        for d in range(1 << 20):
-            at = [(key + d * (1 + key % (slots - 2))) % slots for key in members[g]]
-            if len(set(at)) == len(at) and all(held[i] < 0 for i in at):
-                break
-        else:
+    ranks = read_ranks(path)
+    left, right, rank = np.array(list(merges(ranks)), np.int64).reshape(-1, 3).T
+    slots, groups = 1 << (2 * len(rank)).bit_length(), len(rank) // 3 | 1
+    first = (len(ranks) + 1) | 1  # also tells the end, which is numbered len(ranks), from any piece
+    for factor in range(first, RANK // (len(ranks) + 1), 2):
+        keys = left * factor + right
+        group, low = keys % groups, keys & (slots - 1)
+        if len(np.unique(group * slots + low)) == len(keys):
+            break
+    else:
+        raise ValueError("no factor tells the pairs apart")
+    size = np.bincount(group, minlength=groups)
+    order = np.lexsort((group, -size[group]))
+    displaced, held, begin = [0] * groups, [-1] * slots, 0
+    while begin < len(order):
+        members = order[begin : begin + size[group[order[begin]]]]
+        at = low[members].tolist()
+        d = next((d for d in range(slots) if all(held[i ^ d] < 0 for i in at)), None)
+        if d is None:
             raise ValueError("no perfect hash table was found")
-        displaced[g] = d
-        for i, key in zip(at, members[g]):
-            held[i] = key << RANK_BITS | pairs[key]
-    return displaced, held
+        displaced[int(group[members[0]])] = d
+        for i, entry in zip(at, (rank[members] * RANK + keys[members]).tolist()):
+            held[i ^ d] = entry
+        begin += len(members)
+    return displaced, held, factor
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, and neither copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def merged(state: Column, path: str) -> Column:
     """A word's state, merged as far as the ranks go."""
-    displaced, held = rank_table(path)
-    slots, groups = len(held), len(displaced)
+    displaced, held, factor = rank_table(path)
     literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    long = lambda n: F.lit(n).cast("long")
     moves, entries = literal(displaced), literal(held)
-    let = lambda value, body: F.transform(F.array(value), body)[0]
+    piece = lambda entry: entry.bitwiseAND(long(PLACE - 1))
+
+    def ranked(left: Column, right: Column, low: Column) -> Column:
+        """The entry with these bits below its rank, which is that of both pieces."""
 
-    def rank(left: Column, right: Column) -> Column:
         def found(key: Column) -> Column:
-            slot = (key + F.get(moves, (key % groups).cast("int")) * (key % (slots - 2) + 1)) % slots
-            return let(F.get(entries, slot.cast("int")), lambda e: F.when(F.shiftright(e, RANK_BITS) == key, e.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int") + RANK).otherwise(NONE))
+            slot = F.get(moves, (key % len(displaced)).cast("int")).bitwiseXOR(key).bitwiseAND(long(len(held) - 1))
+            # nothing is left of the key where it is the slot's
+            return let(F.get(entries, slot.cast("int")).bitwiseXOR(key), lambda e: F.when(e.bitwiseAND(long(RANK - 1)) == 0, e).otherwise(long(NONE)).bitwiseOR(low))
 
-        return let(left.cast("long") * 65536 + right, found)
+        return let(left * long(factor) + right, found)
 
     def merge(s: Column, m: Column) -> Column:
-        def at(k: Column) -> Column:
-            made = lambda t: F.concat(F.slice(s, F.lit(1), k - 3), F.array(rank(F.get(s, k - 4), t), t, rank(t, F.get(s, k + 2))), F.slice(s, k + 3, F.size(s)))
-            return let(m - RANK, made)
+        def at(k: Column, t: Column) -> Column:
+            new = ranked(t, piece(F.get(s, k + 2)), m.bitwiseAND(long(RANK - PLACE)).bitwiseOR(t))
+            before = lambda x: let(x.bitwiseAND(long(RANK - 1)), lambda low: ranked(piece(low), t, low))
+            kept = F.filter(s, lambda _, i: i != k + 1)
+            return F.transform(kept, lambda x, i: F.when(i < k - 1, x).when(i > k, x - long(PLACE)).when(i == k, new).otherwise(before(x)))
 
-        return let(F.array_position(s, m).cast("int"), at)
+        place = F.shiftright(m.bitwiseAND(long(RANK - 1)), PLACE.bit_length() - 1).cast("int")
+        return let(place, lambda k: let(F.shiftright(m, RANK.bit_length() - 1), lambda t: at(k, t)))
 
-    step = lambda s, _: let(F.array_min(s), lambda m: F.when(m < 0, merge(s, m)).otherwise(s))
-    # a word of n bytes has 2 * n + 3 entries, and at most n - 1 merges
-    most = F.greatest(((F.size(state) - 3) / 2).cast("int"), F.lit(2))
-    return F.when(state.isNotNull(), F.aggregate(F.sequence(F.lit(2), most), state, step))
+    step = lambda s, _: let(F.array_min(s), lambda m: F.when(m < long(NONE), merge(s, m)).otherwise(s))
+    # a word of n bytes has n + 2 entries, and at most n - 1 merges
+    return F.when(state.isNotNull(), F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(state) - 2, F.lit(2))), state, step))
 
 
 def states(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
     """Of each word, the state before the first merge."""
     end = len(ranks)
-    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    pairs = np.full((256, 256), NONE, np.int32)
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    pairs = np.full((256, 256), NONE, np.int64)
     for piece, rank in ranks.items():
         if len(piece) == 2:
-            pairs[piece[0], piece[1]] = rank + RANK
+            pairs[piece[0], piece[1]] = rank * RANK
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
     n = np.diff(offsets)
-    ends = np.cumsum(2 * n + 3)
-    starts = ends - (2 * n + 3)
-    out = np.full(int(ends[-1]) if len(ends) else 0, NONE, np.int32)
-    out[starts] = out[ends - 1] = end
-    at = np.repeat((starts + 2 - 2 * (offsets[:-1] - offsets[0])).astype(np.int32), n)
-    at += 2 * np.arange(len(raw), dtype=np.int32)
-    out[at] = of_byte[raw]
-    out[at[:-1] + 1] = np.where(np.diff(at) == 2, pairs[raw[:-1], raw[1:]], NONE)
+    ends = np.cumsum(n + 2)
+    out = np.full(int(ends[-1]) if len(ends) else 0, NONE + end, np.int64)
+    out[ends - 1] += (n + 1) * PLACE
+    place = 1 + np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], n)
+    at = np.repeat(ends - n - 2, n) + place
+    rank = np.full(len(raw), NONE, np.int64)
+    rank[:-1] = np.where(np.diff(at) == 1, pairs[raw[:-1], raw[1:]], NONE)
+    out[at] = rank + place * PLACE + of_byte[raw]
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
 
 
@@ -191,7 +217,7 @@ def numbered_words(docs: DataFrame, path: str) -> DataFrame:
             held = [pa.array(np.full(len(batch), era, np.int32)), pa.nulls(len(batch), new.type), batch.column("doc_id"), pa.array([x.tobytes() for x in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(held, names=names)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"era int, word array<int>, doc_id {id_type}, part binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"era int, word array<bigint>, doc_id {id_type}, part binary")
 
 
 class Ids:
@@ -202,8 +228,8 @@ class Ids:
         self.ranks, self.pieces, self.fits = ranks, {r: p for p, r in ranks.items()}, {}
 
     def add(self, words: pa.ListArray) -> None:
-        flat = words.flatten().to_numpy(zero_copy_only=False)
-        piece = (flat >= 0) & (flat < self.end)  # neither ranks nor ends
+        flat = words.flatten().to_numpy(zero_copy_only=False) & (PLACE - 1)
+        piece = flat < self.end
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         self.stops = np.append(self.stops, self.stops[-1] + np.append(0, np.cumsum(piece))[offsets[1:]])
         self.flat = np.append(self.flat, flat[piece].astype("<u4"))
