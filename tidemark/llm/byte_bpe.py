@@ -5,7 +5,7 @@ before the documents that hold it, and a document as the numbers of its words.
 word.  The state is an array of the word's pieces between two ends.  An entry holds, from its high bits, the rank at which its
 piece merges with the next one, its place in the array and the piece.  So the least entry is the merge that comes next (the
 leftmost of equals) and tells where it is; a step leaves out the entry behind it, puts the merged piece in its place and
-looks up only the two ranks that are new.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain
+looks up only the two ranks that are new.  Two bytes that merge whatever the order are one piece from the start.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain
 Spark map would be searched from end to end.  The same task then puts the documents together from their words' ids, and they
 are decoded by concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows
 stay small.
@@ -132,29 +132,67 @@ def merged(state: Column, path: str) -> Column:
         return let(place, lambda k: let(F.shiftright(m, RANK.bit_length() - 1), lambda t: at(k, t)))
 
     step = lambda s, _: let(F.array_min(s), lambda m: F.when(m < long(NONE), merge(s, m)).otherwise(s))
-    # a word of n bytes has n + 2 entries, and at most n - 1 merges
+    # n pieces have n + 2 entries, and at most n - 1 merges
     return F.when(state.isNotNull(), F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(state) - 2, F.lit(2))), state, step))
 
 
-def states(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
-    """Of each word, the state before the first merge."""
+@lru_cache(maxsize=2)
+def byte_pairs(path: str) -> tuple[np.ndarray, ...]:
+    """Of two bytes, the rank, the least rank of pieces that begin with them and that end in them, and whether they merge before any merge of their piece; keys of all pairs in order and their ranks."""
+    ranks = read_ranks(path)
+    rank, begins, ends = (np.full((256, 256), NONE // RANK, np.int64) for _ in range(3))
+    for piece, r in ranks.items():
+        if len(piece) == 2:
+            rank[piece[0], piece[1]] = r
+        if len(piece) > 1:
+            begins[piece[0], piece[1]] = min(begins[piece[0], piece[1]], r)
+            ends[piece[-2], piece[-1]] = min(ends[piece[-2], piece[-1]], r)
+    left, right, made = np.array(list(merges(ranks)), np.int64).reshape(-1, 3).T
+    later = np.full(len(ranks) + 1, NONE // RANK, np.int64)
+    np.minimum.at(later, left, made)
+    np.minimum.at(later, right, made)
+    keys = left * PLACE + right
+    order = np.argsort(keys)
+    first = (rank < NONE // RANK) & (rank < later[np.minimum(rank, len(ranks))])
+    return rank, begins, ends, first, keys[order], made[order]
+
+
+def states(words: pa.Array, path: str) -> pa.ListArray:
+    """Of each word, the state from which its merges are folded.
+
+    Two bytes are one piece from the start where no order of merges could part them: their rank is below that of any piece that
+    ends in the byte before and the first, or begins with the second and the byte behind, and below that of whatever their piece
+    may become part of.  So until they merge nothing touches them, and merging them at once changes no other choice.
+    """
+    ranks = read_ranks(path)
+    pair, begins, ends_in, first, keys, made = byte_pairs(path)
     end = len(ranks)
     of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    pairs = np.full((256, 256), NONE, np.int64)
-    for piece, rank in ranks.items():
-        if len(piece) == 2:
-            pairs[piece[0], piece[1]] = rank * RANK
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
-    n = np.diff(offsets)
+    starts = np.zeros(len(raw) + 1, bool)  # where words begin
+    starts[offsets[:-1] - offsets[0]] = True
+    starts[-1] = True
+    a, b = raw[:-1], raw[1:]
+    rank = pair[a, b]
+    sure = first[a, b] & ~starts[1:-1]
+    sure[1:] &= starts[1:-2] | (rank[1:] < ends_in[a[:-1], b[:-1]])
+    sure[:-1] &= starts[2:-1] | (rank[:-1] < begins[a[1:], b[1:]])
+    piece = of_byte[raw]
+    piece[:-1][sure] = rank[sure]
+    kept = np.append(True, ~sure)[: len(raw)]
+    before = np.append(0, np.cumsum(kept))  # kept pieces before a byte
+    n = np.diff(before[offsets - offsets[0]])
+    piece, opens = piece[kept], starts[:-1][kept]
     ends = np.cumsum(n + 2)
     out = np.full(int(ends[-1]) if len(ends) else 0, NONE + end, np.int64)
     out[ends - 1] += (n + 1) * PLACE
-    place = 1 + np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], n)
-    at = np.repeat(ends - n - 2, n) + place
-    rank = np.full(len(raw), NONE, np.int64)
-    rank[:-1] = np.where(np.diff(at) == 1, pairs[raw[:-1], raw[1:]], NONE)
-    out[at] = rank + place * PLACE + of_byte[raw]
+    place = 1 + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    key = piece[:-1] * PLACE + piece[1:]
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    merge = np.full(len(piece), NONE, np.int64)
+    merge[:-1] = np.where(~opens[1:] & (keys[at] == key), made[at] * RANK, NONE)
+    out[np.repeat(ends - n - 2, n) + place] = merge + place * PLACE + piece
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
 
 
@@ -207,7 +245,7 @@ def numbered_words(docs: DataFrame, path: str) -> DataFrame:
                 numbers, era = {}, era + 1
             known = len(numbers)
             place = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int32)
-            new = states(coded.dictionary.filter(pa.array(place >= known)), read_ranks(path))
+            new = states(coded.dictionary.filter(pa.array(place >= known)), path)
             for k in range(0, len(new), 10_000):
                 part = new.slice(k, 10_000)
                 none = [pa.nulls(len(part), batch.schema.field("doc_id").type), pa.nulls(len(part), pa.binary())]
