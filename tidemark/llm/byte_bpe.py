@@ -5,14 +5,13 @@ before the documents that hold it, and a document as the numbers of its words.
 word.  The state is an array of the word's pieces between two ends.  An entry holds, from its high bits, the rank at which its
 piece merges with the next one, its place in the array and the piece.  So the least entry is the merge that comes next (the
 leftmost of equals) and tells where it is; a step leaves out the entry behind it, puts the merged piece in its place and
-looks up only the two ranks that are new.  Two bytes that merge whatever the order are one piece from the start.  The ranks are one literal: a perfect hash table of pairs of pieces, as a plain
-Spark map would be searched from end to end.  The same task then puts the documents together from their words' ids, and they
+looks up only the two ranks that are new.  Two bytes that merge whatever the order are one piece from the start.  The ranks
+are one literal: a perfect hash table of pairs of pieces, as a plain Spark map would be searched from end to end.  The same task then puts the documents together from their words' ids, and they
 are decoded by concatenating the pieces of those ids.  Nothing is shuffled or broadcast that grows with the data, and rows
 stay small.
 
-Steps are interpreted, so their form decides the cost: array_position leaves its loop by an exception, slice and concat go
-through Scala collections, and a value named by transform is copied; filter, transform by place and the last lambda of an
-aggregate are not so.
+Steps are interpreted, so their form decides the cost: short states, a filter and a transform by place (slice and concat go
+through Scala collections), and values named by the last lambda of an aggregate, as transform copies what it gives.
 
 A fold copies its state with every merge, so a word of over LONG_WORD bytes (a run of letters without a blank) is folded in
 blocks of BLOCK bytes, each a word of its own.  Blocks are joined where a document is put together: a sequence of pieces is the
